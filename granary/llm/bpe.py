@@ -217,3 +217,20 @@ def encode_digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
             yield pd.DataFrame(out, columns=DIGEST.names)
 
     return docs.select(F.col(id_col), digest(F.col(text_col)).alias("__d")).select(id_col, "__d.*")
+
+
+CHECKED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])
+
+
+def encode_checked(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, n_tokens, ids, exact (whether the ids decode to the text). A null text counts as empty."""
+    get = _with_encoder(docs, path, pattern)
+
+    @pandas_udf(CHECKED)
+    def checked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            texts, enc = [t or "" for t in texts], get()
+            ids = enc.encode(texts)
+            yield pd.DataFrame({"n_tokens": [len(x) for x in ids], "ids": [x.astype(np.int32) for x in ids], "exact": [enc.decode(x) == t.encode("utf-8", "replace") for x, t in zip(ids, texts)]}, columns=CHECKED.names)
+
+    return docs.select(F.col(id_col), checked(F.col(text_col)).alias("__d")).select(id_col, "__d.*")

@@ -69,6 +69,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return inner.join(starts, F.expr("r.source <=> s.source AND r.part = s.part")).select(F.col("r.id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", **how) -> DataFrame:
+    """The mix itself, with the columns of docs: each document as often as it is taken whole, and once more with its first words where a budget
+    ends inside it. chars_col, if docs has it, then counts what is left. Documents without words are in no mix. Ids must be unique.
+    """
+    plan = mix(docs, id_col, text_col, source_col, **how).filter("taken > 0")
+    plan = plan.select(F.col(id_col).alias("__id"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("__whole"), (F.col("taken") % F.col("size")).cast("int").alias("__part"))
+    part = F.when(F.col("__part") > 0, F.array(F.col("__part"))).otherwise(F.array().cast("array<int>"))
+    rows = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"])).withColumn("__words", F.explode(F.concat(F.array_repeat(F.lit(0), F.col("__whole")), part)))
+    head = F.concat_ws("", F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("__words")))
+    cut = {text_col: F.when(F.col("__words") > 0, head).otherwise(F.col(text_col))}
+    if chars_col in docs.columns:
+        cut[chars_col] = F.when(F.col("__words") > 0, F.length(head).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
+    return rows.withColumns(cut).select(*docs.columns)
+
+
 def oracle_sql(seed: int = 42, weights=WEIGHTS, share: float = SHARE, most_epochs: int = MOST_EPOCHS) -> str:
     """DuckDB SQL for mix() over documents."""
     return f"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bpe, chat, exact_dedup, licences, mixing, quality_model, quality_rules, toxicity
-from granary.llm.common import WORD, table
+from granary.llm import bpe, chat, exact_dedup, licences, mixing, ngram_join, quality_model, quality_rules, suffix_dedup, toxicity
+from granary.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: A conversation that speaks in control strings.
@@ -21,6 +21,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_quality(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +55,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(turns))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op4_mixing, op5_quality_rules, op7_quality_model, op8_bpe, op9_licences, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_ngram_join, op4_mixing, op5_quality_rules, op6_suffix_dedup, op7_quality_model, op8_bpe, op9_licences, op10_chat)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {
