@@ -85,7 +85,7 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tu
         p = p.clip(1e-6, 1 - 1e-6)
         p[:, GOOD] = p[:, GOOD].clip(1 - FALSE_ALARM)
         q = posterior(patterns, prior, p)
-        if np.abs(q - was).max() < 1e-9:
+        if np.abs(q - was).max(initial=0) < 1e-9:
             break
     return prior, p
 
