@@ -1,4 +1,442 @@
-"""Registered queries of the blob engine and their SQL."""
+"""Registered queries of the blob engine and their SQL.
+
+Documents and pages serve as blobs. Packed sizes depend on library versions, so the queries return what is recovered and computed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.functions import codecs, dims, formats, report, standalone
+from granary.functions import header as H
+from granary.operators import archive, benchmark, container, policy
+from granary.plans import jobs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query under its function's name, with SQL that gives the same rows."""
+
+    def register(function):
+        key = name or function.__name__
+        QUERIES[key] = function
+        if sql is not None:
+            ORACLES[key] = sql
+        return function
+
+    return register
+
+
+def _docs(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    raw = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", *columns)
+    return raw.withColumn("content", F.encode("text", "UTF-8")).drop("text")
+
+
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _sql_values(rows: list[tuple], names: str) -> str:
+    show = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return f"(VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS t({names})"
+
+
+def _nth(names, k: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+
+
+_DIGEST = "SELECT doc_id, md5(text) AS digest, octet_length(encode(text))::INT AS n_bytes FROM documents"
+
+
+def _recovered(rows: DataFrame, data: str) -> DataFrame:
+    return rows.select("doc_id", F.md5(data).alias("digest"), F.octet_length(data).alias("n_bytes"))
+
+
+def _codec_roundtrip(codec: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        codecs.small_blobs(spark)
+        packed = _docs(spark, sf).withColumn("p", codecs.compress(F.col("content"), codec))
+        return _recovered(packed.withColumn("r", codecs.decompress(F.col("p.data"), codec)), "r.data")
+
+    return run
+
+
+def _file_roundtrip(fmt: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        codecs.small_blobs(spark)
+        packed = _docs(spark, sf).withColumn("p", standalone.pack(F.col("content"), fmt))
+        return _recovered(packed.withColumn("r", standalone.unpack(F.col("p.data"), fmt)), "r.data")
+
+    return run
+
+
+for _name in dims.CODECS:
+    query(_DIGEST, f"codec_roundtrip_{_name}")(_codec_roundtrip(_name))
+for _name in dims.STANDALONE:
+    query(_DIGEST, f"standalone_roundtrip_{_name}")(_file_roundtrip(_name))
+
+
+@query("SELECT * FROM " + _sql_values([(n, i, True, True, dims.COMPRESS_MB_S[n], dims.DECOMPRESS_MB_S[n]) for n, i in dims.CODECS.items()], "name, id, has_buffer, has_stream, comp_mb_s, decomp_mb_s"))
+def codec_capabilities(spark, sf):
+    return dims.codecs(spark)
+
+
+ORACLES["codec_capabilities"] = "SELECT name, id, has_buffer, has_stream, comp_mb_s::DOUBLE AS comp_mb_s, decomp_mb_s::DOUBLE AS decomp_mb_s" + ORACLES["codec_capabilities"][8:]
+
+
+@query("SELECT * FROM (VALUES ('tar', true, false), ('zip', false, true)) AS t(name, streaming, compression)")
+def archive_capabilities(spark, sf):
+    return dims.archive_formats(spark)
+
+
+_ALGO = [*dims.CODECS]
+_ALGO_SQL = f"([{', '.join(repr(a) for a in _ALGO)}])[doc_id % 6 + 1]"
+_SPEED_SQL = "CASE algo_name " + " ".join(f"WHEN '{a}' THEN {v}" for a, v in dims.DECOMPRESS_MB_S.items()) + " END"
+
+
+@query(f"""
+SELECT doc_id, true AS is_container, true AS header_ok, NULL::VARCHAR AS reason, 1 AS version, algo_id, algo_name, coalesce(level, -1) AS level, 0 AS flags, orig_size, true AS backend_available,
+  true AS has_streaming, true AS can_decompress, orig_size::DOUBLE / ({_SPEED_SQL} * 1048576) AS estimated_decomp_s
+FROM (SELECT doc_id, (doc_id % 6 + 1)::INT AS algo_id, {_ALGO_SQL} AS algo_name, CASE WHEN doc_id % 11 < 10 THEN (doc_id % 11)::INT END AS level, octet_length(encode(text))::BIGINT AS orig_size FROM documents)""")
+def container_inspect(spark, sf):
+    """Headers of containers, read back from the bytes; level 255 is the default and comes back as null."""
+    rows = _docs(spark, sf)
+    level = F.when(F.col("doc_id") % 11 < 10, F.col("doc_id") % 11).otherwise(-1).cast("int")
+    boxed = rows.select("doc_id", H.header(_nth(_ALGO, F.col("doc_id") % 6), level, F.octet_length("content")).alias("content"))
+    return container.inspect(boxed).drop("content").withColumn("level", F.coalesce("level", F.lit(-1)))
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'File too small to be a valid container' WHEN 1 THEN 'Invalid magic number' WHEN 2 THEN 'Unsupported header version: 9'
+    WHEN 3 THEN 'Original size 18446744073709551615 exceeds maximum limit 9223372036854775807' WHEN 4 THEN 'No available backend for this algorithm' END AS reason,
+  doc_id % 6 IN (3, 4, 5) AS is_container, doc_id % 6 IN (4, 5) AS header_ok, doc_id % 6 = 5 AS can_decompress FROM documents""")
+def container_bad_headers(spark, sf):
+    """Damaged headers: each fault has its own reason."""
+    good = H.header(F.lit("zstd"), F.lit(3), F.octet_length("content"))
+    part = lambda a, n: F.substring(good, a, n)
+    raw = lambda b: F.lit(bytearray(b))
+    k = F.col("doc_id") % 6
+    bad = F.when(k == 0, part(1, 4)).when(k == 1, F.concat(raw(b"XXXX"), part(5, 12))).when(k == 2, F.concat(part(1, 4), raw(b"\x09"), part(6, 11)))
+    bad = bad.when(k == 3, F.concat(part(1, 8), raw(b"\xff" * 8))).when(k == 4, F.concat(part(1, 5), raw(b"\x2a"), part(7, 10))).otherwise(good)
+    rows = container.inspect(_docs(spark, sf).select("doc_id", bad.alias("content")))
+    return rows.select("doc_id", "reason", "is_container", "header_ok", "can_decompress")
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE md5(text) END AS digest,
+  CASE doc_id % 5 WHEN 1 THEN 'HeaderError' WHEN 2 THEN 'BackendError' WHEN 3 THEN 'failed' END AS failure FROM documents""")
+def container_roundtrip(spark, sf):
+    """Pack, damage some, unpack: the damaged ones have an error of the right kind and hold up none of the others."""
+    k = F.col("doc_id") % 5
+    packed = container.pack(_docs(spark, sf), _nth(_ALGO, F.col("doc_id") % 6))
+    part = lambda a, n: F.substring(F.col("packed"), a, n)
+    whole = F.octet_length("packed")
+    hurt = F.when(k == 1, F.concat(part(1, 4), F.lit(bytearray(b"\x07")), F.expr("substring(packed, 6)")))
+    hurt = hurt.when(k == 2, F.concat(part(1, 5), F.lit(bytearray(b"\x63")), F.expr("substring(packed, 7)"))).when(k == 3, F.substring(F.col("packed"), F.lit(1), whole - 3)).otherwise(F.col("packed"))
+    # a header of an unknown version isn't a container any more for inspect, but its magic still routes it here
+    rows = container.unpack(packed.select("doc_id", hurt.alias("content")))
+    kind = F.when(F.col("error").isNull(), None).when(F.col("error").startswith("HeaderError: Unsupported"), "HeaderError").when(F.col("error").startswith("BackendError"), "BackendError").otherwise("failed")
+    return rows.select("doc_id", F.md5("data").alias("digest"), kind.alias("failure"))
+
+
+@query("SELECT doc_id, md5(text) AS digest, ['gzip', 'bzip2', 'xz', 'zstd', 'lz4', 'container'][doc_id % 6 + 1] AS format FROM documents")
+def decompress_any(spark, sf):
+    """One table of six kinds of files, each told by its bytes and decoded."""
+    codecs.small_blobs(spark)
+    kind = _nth(dims.STANDALONE, F.least(F.col("doc_id") % 6, F.lit(4)))
+    rows = container.pack(_docs(spark, sf), F.lit("zlib")).withColumn("s", standalone.pack(F.col("content"), kind))
+    rows = rows.select("doc_id", F.when(F.col("doc_id") % 6 == 5, F.col("packed")).otherwise(F.col("s.data")).alias("content"))
+    return container.unpack(rows).select("doc_id", F.md5("data").alias("digest"), "format")
+
+
+_MAGICS = [b"\x1f\x8b", b"BZh9", b"COMP", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd", b"\x04\x22\x4d\x18", b"PK\x03\x04", b"7z\xbc\xaf\x27\x1c", b"\xff\xff\xff\xff", b"\x1f"]
+_MAGIC_FORMATS = ["gzip", "bzip2", "container", "xz", "zstd", "lz4", "zip", "7z", "unknown", "unknown"]
+
+
+@query(f"SELECT doc_id, ({_MAGIC_FORMATS})[doc_id % 10 + 1] AS format, ({_MAGIC_FORMATS})[doc_id % 10 + 1] IN ('zip', '7z') AS is_archive, CASE WHEN ({_MAGIC_FORMATS})[doc_id % 10 + 1] IN ('zip', '7z') THEN 'archive' ELSE 'single' END AS mode FROM documents")
+def detect_magic(spark, sf):
+    content = F.element_at(F.array(*(F.lit(bytearray(m)) for m in _MAGICS)), (F.col("doc_id") % 10 + 1).cast("int"))
+    fmt = formats.of_magic(content)
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", fmt.alias("format"), formats.is_archive(fmt).alias("is_archive"), formats.operation_mode(fmt).alias("mode"))
+
+
+_PATHS = [
+    ("a/b.gz", "gzip"), ("x.BZ2", "bzip2"), ("x.xz", "xz"), ("x.zst", "zstd"), ("x.zstd", "zstd"), ("x.lz4", "lz4"), ("x.comp", "container"), ("x.zip", "zip"), ("x.7z", "7z"), ("x.tar", "tar"),
+    ("x.tgz", "gzip"), ("x.tbz2", "bzip2"), ("x.TXZ", "xz"), ("x.tzst", "zstd"), ("x.tlz4", "lz4"), ("x.txt", "unknown"), ("noext", "unknown"), ("gz", "unknown"), ("x.", "unknown"), (".gz", "gzip"), ("a.tar.gz", "gzip"),
+]
+
+
+@query(f"SELECT r_regionkey, path, format FROM region, {_sql_values(_PATHS, 'path, format')}")
+def detect_extension(spark, sf):
+    paths = _values(spark, [(p,) for p, _ in _PATHS], "path string")
+    return spark.read.parquet(f"{sf}/region.parquet").select("r_regionkey").join(F.broadcast(paths)).select("r_regionkey", "path", formats.of_extension(F.col("path")).alias("format"))
+
+
+_NAMES = [
+    ("tar.gz", "tar", "gzip", "tar.gz", True), ("tar.bz2", "tar", "bzip2", "tar.bz2", True), ("tar.xz", "tar", "xz", "tar.xz", True), ("tar.zst", "tar", "zstd", "tar.zst", True), ("tar.lz4", "tar", "lz4", "tar.lz4", True),
+    ("tgz", "tar", "gzip", "tar.gz", True), ("tzst", "tar", "zstd", "tar.zst", True), ("tar", "tar", "unknown", "tar", True), ("zip", "zip", "unknown", "zip", True), ("7z", "7z", "unknown", "7z", True),
+    ("gzip", "none", "gzip", "gzip", True), ("lzma", "none", "xz", "xz", True), ("container", "none", "container", "container", False), ("zip.gz", "zip", "gzip", "zip.gz", False), ("tar.zip", "none", "unknown", "unknown", False),
+    ("TAR.GZ", "none", "unknown", "unknown", False), ("nonsense", "none", "unknown", "unknown", False),
+]
+
+
+@query(f"SELECT r_regionkey, t.* FROM region, {_sql_values(_NAMES, 'name, archive, codec, display, is_valid')}")
+def pipeline_parse(spark, sf):
+    names = _values(spark, [(n[0],) for n in _NAMES], "name string")
+    rows = spark.read.parquet(f"{sf}/region.parquet").select("r_regionkey").join(F.broadcast(names)).withColumn("p", formats.pipeline_of_name(F.col("name")))
+    return rows.select("r_regionkey", "name", "p.archive", "p.codec", formats.display_name(F.col("p")).alias("display"), formats.is_valid(F.col("p")).alias("is_valid"))
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'tar.gz' WHEN 1 THEN 'gzip' WHEN 2 THEN 'tar' ELSE 'unknown' END AS format FROM documents""")
+def detect_pipeline(spark, sf):
+    """Blob and path together: a tar inside a codec is told by the name, a bare tar by its mark at byte 257."""
+    k = F.col("doc_id") % 4
+    gz, tar = F.lit(bytearray(b"\x1f\x8b\x08\x00")), F.lit(bytearray(b"x" * 257 + b"ustar"))
+    content = F.when(k < 2, gz).when(k == 2, tar).otherwise(F.lit(bytearray(b"abc")))
+    path = F.when(k == 0, "d/x.tar.gz").when(k == 1, ".tar.gz").when(k == 2, "plain").otherwise("x.gz")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", formats.pipeline_of_blob(content, path).alias("p"))
+    return rows.select("doc_id", formats.display_name(F.col("p")).alias("format"))
+
+
+@query("SELECT nation.n_nationkey, ['zstd', 'lz4', 'lzma', 'zstd'][n_nationkey % 4 + 1] AS codec, [4, 5, 3, 4][n_nationkey % 4 + 1] AS codec_id, ['balanced', 'fast', 'max_ratio', 'balanced'][n_nationkey % 4 + 1] AS strategy FROM nation")
+def strategy_choice(spark, sf):
+    strategy = _nth(["balanced", "fast", "max_ratio", "whatever"], F.col("n_nationkey") % 4)
+    codec = formats.codec_for(strategy)
+    return spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", codec.alias("codec"), formats.codec_id(codec).alias("codec_id"), formats.strategy_of(strategy).alias("strategy"))
+
+
+@query("""
+SELECT algo, level::INT AS level, (CASE algo WHEN 'bzip2' THEN CASE WHEN level BETWEEN 1 AND 9 THEN level ELSE 9 END WHEN 'lzma' THEN CASE WHEN level < 0 THEN 6 ELSE least(level, 9) END
+  WHEN 'zstd' THEN CASE WHEN level < 0 THEN 3 ELSE least(level, 22) END WHEN 'lz4' THEN greatest(level, 0) WHEN 'zlib' THEN CASE WHEN level BETWEEN 0 AND 9 THEN level ELSE -1 END ELSE level END)::INT AS effective,
+  level BETWEEN -1 AND 22 AS accepted
+FROM (VALUES ('zlib'), ('bzip2'), ('lzma'), ('zstd'), ('lz4'), ('snappy')) AS t(algo), generate_series(-2, 23) AS s(level)""")
+def level_clamp(spark, sf):
+    rows = dims.codecs(spark).select(F.col("name").alias("algo"), F.explode(F.sequence(F.lit(-2), F.lit(23))).alias("level"))
+    ok = container.request_error(F.col("algo"), F.col("level"), F.lit(1)).isNull()
+    return rows.select("algo", "level", codecs.effective_level(F.col("algo"), F.col("level")).cast("int").alias("effective"), ok.alias("accepted"))
+
+
+@query("""
+SELECT doc_id, algo, (CASE algo WHEN 'zlib' THEN n + n // 4096 + n // 16384 + n // 33554432 + 13 WHEN 'bzip2' THEN n + n // 100 + 600 WHEN 'lzma' THEN n + n // 3 + 131072
+  WHEN 'zstd' THEN n + n // 256 + CASE WHEN n < 131072 THEN (131072 - n) // 2048 ELSE 0 END WHEN 'snappy' THEN 32 + n + n // 6 END)::BIGINT AS bound
+FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents), (VALUES ('zlib'), ('bzip2'), ('lzma'), ('zstd'), ('snappy')) AS t(algo)""")
+def size_bounds(spark, sf):
+    """The most that a codec can make of each document; lz4's bound depends on its library and is left out."""
+    algos = _values(spark, [(a,) for a in _ALGO if a != "lz4"], "algo string")
+    return _docs(spark, sf).join(F.broadcast(algos)).select("doc_id", "algo", codecs.max_compressed_size(F.col("algo"), F.octet_length("content")).alias("bound"))
+
+
+@query("""
+SELECT doc_id, lang || '/' || doc_id || '.txt.comp' AS dest, CASE doc_id % 4 WHEN 0 THEN 'lz4' WHEN 1 THEN 'lzma' WHEN 2 THEN 'zstd' ELSE 'zipp' END AS backend_name,
+  octet_length(encode(text))::BIGINT AS input_size, octet_length(encode(text)) / 1048576.0::DOUBLE / CASE doc_id % 4 WHEN 0 THEN 800.0::DOUBLE WHEN 1 THEN 30.0::DOUBLE WHEN 2 THEN 400.0::DOUBLE ELSE 200.0::DOUBLE END AS estimated_seconds,
+  doc_id % 4 < 3 AS can_compress, CASE WHEN doc_id % 4 = 3 THEN 'No backend for zipp' END AS reason FROM documents""")
+def plan_compression(spark, sf):
+    rows = _docs(spark, sf, "lang").withColumn("path", F.concat("lang", F.lit("/"), "doc_id", F.lit(".txt")))
+    algo = F.when(F.col("doc_id") % 4 == 3, "zipp")
+    plan = jobs.plan_compression(rows, algo, _nth(["fast", "max_ratio", "balanced", "balanced"], F.col("doc_id") % 4))
+    return plan.select("doc_id", "dest", "backend_name", "input_size", "estimated_seconds", "can_compress", "reason")
+
+
+@query("SELECT lang, source, count(*) AS n, sum(octet_length(encode(text)))::BIGINT AS bytes, bool_and(doc_id % 4 <> 3) AS all_ok, count(*) FILTER (doc_id % 4 <> 3) AS n_same FROM documents GROUP BY lang, source")
+def run_compression(spark, sf):
+    """Plan, run, undo, and report by language and source; a job that can't run is a row, not an exception."""
+    rows = _docs(spark, sf, "lang", "source").withColumn("path", F.col("doc_id").cast("string"))
+    done = jobs.run_compression(jobs.plan_compression(rows, F.when(F.col("doc_id") % 4 == 3, "zipp"), _nth(["fast", "max_ratio", "balanced", "balanced"], F.col("doc_id") % 4)))
+    back = jobs.run_decompression(done.select("lang", "source", "dest", "input_size", "ok", F.md5("content").alias("was"), F.col("packed").alias("content")), "dest").withColumn("same", F.md5("data") == F.col("was"))
+    first_ok = F.col("was").isNotNull() & F.col("data").isNotNull()
+    return back.groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("input_size").alias("bytes"), F.bool_and(first_ok).alias("all_ok"), F.count_if("same").alias("n_same"))
+
+
+@query(f"""
+SELECT doc_id, doc_id || '.txt' AS dest, 'container' AS format, true AS can_decompress, n::DOUBLE / ({_SPEED_SQL} * 1048576) AS estimated_seconds
+FROM (SELECT doc_id, octet_length(encode(text)) AS n, {_ALGO_SQL} AS algo_name FROM documents)""")
+def plan_decompression(spark, sf):
+    head = H.header(_nth(_ALGO, F.col("doc_id") % 6), F.lit(-1), F.octet_length("content"))
+    rows = _docs(spark, sf).select("doc_id", head.alias("content"), F.concat("doc_id", F.lit(".txt.comp")).alias("path"))
+    return jobs.plan_decompression(rows).select("doc_id", "dest", "format", "inspection.can_decompress", "estimated_seconds")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN i = 0 THEN 0.0 ELSE c / i END AS ratio, CASE WHEN tc = 0 THEN 0.0 ELSE i / 1048576 / tc END AS comp_mb_s, CASE WHEN td = 0 THEN 0.0 ELSE i / 1048576 / td END AS decomp_mb_s
+FROM (SELECT l_orderkey, l_linenumber, floor(l_extendedprice) * (l_linenumber % 3) AS i, floor(l_quantity) AS c, l_discount AS tc, l_tax AS td FROM lineitem)""")
+def bench_metrics(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.floor("l_extendedprice") * (F.col("l_linenumber") % 3)).cast("double").alias("input_size"), F.floor("l_quantity").cast("double").alias("compressed_size"), F.col("l_discount").alias("compress_time"), F.col("l_tax").alias("decompress_time"))
+    return benchmark.metrics(rows).select("l_orderkey", "l_linenumber", "ratio", "comp_mb_s", "decomp_mb_s")
+
+
+_KNOWN = [("zlib", 100.0, 200.0, 10), ("bzip2", 50.0, 60.0, 0), ("snappy", 5.0, 6.0, 7)]
+
+
+@query(f"""
+WITH known AS (SELECT * FROM {_sql_values(_KNOWN, 'algo, comp_mb_s, decomp_mb_s, samples')}),
+s AS (SELECT ['zlib', 'bzip2', 'lzma', 'zstd', 'lz4', ''][l_linenumber % 6 + 1] AS algo, floor(l_quantity) - 1 AS c, floor(l_quantity) AS d FROM lineitem),
+m AS (SELECT algo, sum(c) / count(*) AS c, sum(d) / count(*) AS d, count(*) AS n FROM s WHERE algo <> '' AND c > 0 AND d > 0 GROUP BY algo)
+SELECT coalesce(k.algo, m.algo) AS algo,
+  round(CASE WHEN m.n IS NULL THEN comp_mb_s WHEN coalesce(samples, 0) <= 0 THEN c ELSE (comp_mb_s * samples + c * n) / (samples + n) END, 6)::DOUBLE AS comp_mb_s,
+  round(CASE WHEN m.n IS NULL THEN decomp_mb_s WHEN coalesce(samples, 0) <= 0 THEN d ELSE (decomp_mb_s * samples + d * n) / (samples + n) END, 6)::DOUBLE AS decomp_mb_s,
+  (CASE WHEN m.n IS NULL THEN samples WHEN coalesce(samples, 0) <= 0 THEN n ELSE samples + n END)::BIGINT AS samples
+FROM known k FULL JOIN m ON k.algo = m.algo""")
+def speed_cache_merge(spark, sf):
+    algo = _nth(["zlib", "bzip2", "lzma", "zstd", "lz4", ""], F.col("l_linenumber") % 6)
+    samples = spark.read.parquet(f"{sf}/lineitem.parquet").select(algo.alias("algo"), (F.floor("l_quantity") - 1).cast("double").alias("comp_mb_s"), F.floor("l_quantity").cast("double").alias("decomp_mb_s"))
+    merged = benchmark.merge_speeds(_values(spark, _KNOWN, benchmark.SPEEDS), samples)
+    return merged.select("algo", F.round("comp_mb_s", 6).alias("comp_mb_s"), F.round("decomp_mb_s", 6).alias("decomp_mb_s"), "samples")
+
+
+@query(f"""
+SELECT doc_id, round(n / 1048576.0::DOUBLE / CASE a WHEN 'zlib' THEN 100.0 WHEN 'snappy' THEN 5.0 WHEN 'bzip2' THEN 50.0 WHEN 'lzma' THEN 30.0 WHEN 'zstd' THEN 400.0 WHEN 'lz4' THEN 800.0 ELSE 200.0 END::DOUBLE, 9) AS estimated_seconds
+FROM (SELECT doc_id, octet_length(encode(text)) AS n, ['zlib', 'bzip2', 'lzma', 'zstd', 'lz4', 'snappy', 'other'][doc_id % 7 + 1] AS a FROM documents)""")
+def plan_estimates(spark, sf):
+    """Estimates from measured speeds where there are some, else from the defaults."""
+    rows = _docs(spark, sf).withColumns({"path": F.lit("x"), "algo": _nth([*_ALGO, "other"], F.col("doc_id") % 7)})
+    plan = jobs.plan_compression(rows, F.col("algo"), speeds=_values(spark, _KNOWN, benchmark.SPEEDS))
+    return plan.select("doc_id", F.round("estimated_seconds", 9).alias("estimated_seconds"))
+
+
+@query("""
+SELECT algo, strategy, level FROM (VALUES ('zlib'), ('bzip2'), ('lzma'), ('zstd'), ('lz4'), ('snappy')) AS a(algo), (VALUES ('balanced'), ('fast'), ('max_ratio')) AS s(strategy), (VALUES ('auto'), ('1'), ('3'), ('6'), ('9')) AS n(level)""")
+def bench_grid(spark, sf):
+    return benchmark.grid(spark).withColumn("level", F.coalesce(F.col("level").cast("string"), F.lit("auto")))
+
+
+@query("SELECT a.algo, 'balanced' AS strategy, n.level, (SELECT sum(octet_length(encode(text)))::BIGINT FROM benchmark) AS input_size, true AS same, true AS timed FROM (VALUES ('zlib'), ('zstd'), ('lz4')) AS a(algo), (VALUES ('auto'), ('1')) AS n(level)")
+def bench_run(spark, sf):
+    """A timed grid over the benchmark table's texts; timings differ from run to run, so only that there are some is returned."""
+    blobs = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.encode("text", "UTF-8").alias("content"))
+    rows = benchmark.run(blobs, benchmark.grid(spark, ("zlib", "zstd", "lz4"), ("balanced",), (None, 1)), repeats=2)
+    return rows.select("algo", "strategy", F.coalesce(F.col("level").cast("string"), F.lit("auto")).alias("level"), "input_size", "same", ((F.col("compress_time") > 0) & (F.col("decompress_time") > 0)).alias("timed"))
+
+
+def _entries(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf, "source").select("source", F.concat(F.lit("d/"), "doc_id", F.lit(".txt")).alias("path"), "content")
+
+
+def _archive_list(name: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        built = archive.build(_entries(spark, sf), "source", name, volumes=4)
+        return archive.entries(built, ["source"], payload=False).select("source", "path", "type", "size", "error")
+
+    return run
+
+
+for _name in ("tar", "zip", "tar.gz", "tar.bz2", "tar.xz", "tar.zst", "tar.lz4"):
+    query("SELECT source, 'd/' || doc_id || '.txt' AS path, 'file' AS type, octet_length(encode(text))::BIGINT AS size, NULL::VARCHAR AS error FROM documents", "archive_list_" + _name.replace(".", "_"))(_archive_list(_name))
+
+
+@query("SELECT source, 'd/' || doc_id || '.txt' AS path, md5(text) AS digest FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def archive_extract_selected(spark, sf):
+    built = archive.build(_entries(spark, sf), "source", "tar.zst", volumes=4)
+    wanted = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").select(F.concat(F.lit("d/"), "doc_id", F.lit(".txt")).alias("path"))
+    return archive.extract(built, ["source"], wanted).filter("error IS NULL").select("source", "path", F.md5("content").alias("digest"))
+
+
+@query("SELECT 'd/' || doc_id || '.txt' AS path FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+def archive_missing(spark, sf):
+    """Names that are asked for and aren't there."""
+    half = _entries(spark, sf).filter(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long") % 2 == 0)
+    listed = archive.entries(archive.build(half, "source", "tar", volumes=4), ["source"], payload=False)
+    wanted = spark.read.parquet(f"{sf}/labels.parquet").select(F.concat(F.lit("d/"), "doc_id", F.lit(".txt")).alias("path"))
+    return archive.missing(wanted, listed)
+
+
+@query("SELECT source, 'd/' || doc_id || '.txt' AS path, md5(text) AS digest FROM documents")
+def archive_convert(spark, sf):
+    """zip to tar.xz: the same entries with the same contents."""
+    built = archive.build(_entries(spark, sf), "source", "zip", volumes=4)
+    whole = archive.convert(built.withColumn("key", F.concat_ws("|", "source", "volume")), "key", "tar.xz")
+    rows = archive.entries(whole, ["key"])
+    return rows.select(F.substring_index("key", "|", 1).alias("source"), "path", F.md5("content").alias("digest"))
+
+
+@query("SELECT source, count(*) AS entry_count, sum(octet_length(encode(text)))::BIGINT AS total_input_size, NULL::VARCHAR AS reason, true AS can_run FROM documents GROUP BY source")
+def archive_plan_totals(spark, sf):
+    return jobs.plan_archive(_entries(spark, sf), "source")
+
+
+@query("SELECT source, count(*) AS n_entries, sum(octet_length(encode(text)))::BIGINT AS total_size, NULL::VARCHAR AS reason, true AS can_run FROM documents GROUP BY source")
+def archive_plan_extraction(spark, sf):
+    return jobs.plan_extraction(archive.build(_entries(spark, sf), "source", "tar.gz", volumes=4), "source")
+
+
+@query("SELECT source, lang || '.txt' AS path, md5(arg_max(text, doc_id)) AS digest FROM documents GROUP BY source, lang")
+def archive_last_write_wins(spark, sf):
+    """Of entries with one name the last is stored."""
+    rows = _docs(spark, sf, "source", "lang").withColumn("path", F.concat("lang", F.lit(".txt")))
+    last = archive.last_written(rows, ["source"], F.col("doc_id"))
+    return archive.entries(archive.build(last, "source", "zip"), ["source"]).select("source", "path", F.md5("content").alias("digest"))
+
+
+_ENTRIES = [
+    ("a/b.txt", "file", None), ("/etc/passwd", "file", "absolute path"), ("../x", "file", "path traversal"), ("a/../../x", "file", "path traversal"), ("./a", "file", None), ("a/../b", "file", None), ("a..b/x", "file", None),
+    ("a/b/", "dir", None), ("link", "symlink", "symlink"), ("dev/null", "special", "special file"), ("d/" * 33 + "x", "file", "too deep"), ("d/" * 32 + "x", "file", None), ("a//b/./c", "file", None), ("..", "file", "path traversal"),
+]
+
+
+@query(f"SELECT r_regionkey, t.* FROM region, {_sql_values(_ENTRIES, 'path, type, reason')}")
+def extract_policy(spark, sf):
+    rows = _values(spark, [(p, t) for p, t, _ in _ENTRIES], "path string, type string")
+    return spark.read.parquet(f"{sf}/region.parquet").select("r_regionkey").join(F.broadcast(rows)).select("r_regionkey", "path", "type", policy.violation(F.col("path"), F.col("type")).alias("reason"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, 16 * octet_length(encode(text)) AS n FROM documents)
+SELECT doc_id, k::INT AS block, least(65536, n - 65536 * k)::BIGINT AS raw_length FROM d, generate_series(0, 100) AS g(k) WHERE 65536 * k < n""")
+def snappy_blocks(spark, sf):
+    """The blocks of framed snappy, walked by their own length fields. Each blob is a document 16 times over."""
+    codecs.small_blobs(spark)
+    blobs = _docs(spark, sf).select("doc_id", F.repeat(F.decode("content", "UTF-8"), F.lit(16)).cast("binary").alias("content"))
+    packed = blobs.select("doc_id", F.octet_length("content").alias("n"), codecs.compress(F.col("content"), "snappy")["data"].alias("p")).filter("n > 0")
+    blocks = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / codecs.BLOCK).cast("int"))
+    le = lambda at: F.conv(F.regexp_replace(F.hex(F.col("p").substr(at, F.lit(4))), "(..)(..)(..)(..)", "$4$3$2$1"), 16, 10).cast("int")
+    walk = F.aggregate(blocks, F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found")), lambda a, _: F.struct((a["at"] + 8 + le(a["at"] + 4)).alias("at"), F.concat(a["found"], F.array(le(a["at"]))).alias("found")))
+    return packed.select("doc_id", F.posexplode(walk["found"]).alias("block", "raw_length")).withColumn("raw_length", F.col("raw_length").cast("long"))
+
+
+@query("SELECT doc_id, (octet_length(encode(text)) % 4294967296)::BIGINT AS size, true AS crc_matches FROM documents")
+def gzip_trailer(spark, sf):
+    """Size and checksum from the last eight bytes of gzip files, without unpacking them."""
+    codecs.small_blobs(spark)
+    rows = _docs(spark, sf).withColumn("p", standalone.pack(F.col("content"), "gzip")).withColumn("t", standalone.gzip_trailer(F.col("p.data")))
+    return rows.select("doc_id", F.col("t.size").alias("size"), (F.col("t.crc32") == F.crc32("content")).alias("crc_matches"))
+
+
+@query("SELECT doc_id, ['gzip', 'bzip2', 'xz', 'zstd', 'lz4'][doc_id % 5 + 1] AS format, true AS found FROM documents WHERE octet_length(encode(text)) >= 1000")
+def corruption_detected(spark, sf):
+    """A flipped byte in the middle of a file is noticed by each format's own checks."""
+    codecs.small_blobs(spark)
+    rows = _docs(spark, sf).filter(F.octet_length("content") >= 1000).withColumn("format", _nth(dims.STANDALONE, F.col("doc_id") % 5))
+    rows = rows.withColumn("p", standalone.pack(F.col("content"), F.col("format"))["data"])
+    middle = F.floor(F.octet_length("p") / 2).cast("int")
+    flipped = F.unhex(F.lpad(F.hex(F.conv(F.hex(F.col("p").substr(middle, F.lit(1))), 16, 10).cast("int").bitwiseXOR(F.lit(255)).cast("long")), 2, "0"))
+    bad = F.concat(F.col("p").substr(F.lit(1), middle - 1), flipped, F.col("p").substr(middle + 1, F.octet_length("p")))
+    rows = rows.withColumn("r", standalone.unpack(bad, F.col("format")))
+    return rows.select("doc_id", "format", (F.col("r.error").isNotNull() | (F.md5("r.data") != F.md5("content"))).alias("found"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN b < 1024 THEN printf('%.2f B', b) WHEN b < 1048576 THEN printf('%.2f KB', b / 1024) WHEN b < 1073741824 THEN printf('%.2f MB', b / 1048576) ELSE printf('%.2f GB', b / 1073741824) END AS size,
+  CASE WHEN s < 1 THEN printf('%.0fms', s * 1000) WHEN s < 60 THEN printf('%.2fs', s) ELSE printf('%dm %.1fs', floor(s / 60)::BIGINT, s - floor(s / 60) * 60) END AS took
+FROM (SELECT o_orderkey, (1024 ** (o_orderkey % 3) * (o_orderkey % 1000))::DOUBLE AS b, (o_orderkey % 7) * 10 ** (o_orderkey % 4) / 8.0 + 0.3 AS s FROM orders)""")
+def format_size_time(spark, sf):
+    k = F.col("o_orderkey")
+    size = F.pow(F.lit(1024.0), k % 3) * (k % 1000)
+    seconds = (k % 7) * F.pow(F.lit(10.0), k % 4) / 8.0 + 0.3
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", report.format_size(size).alias("size"), report.format_time(seconds).alias("took"))
+
+
+@query("""
+SELECT page_id, url || '.comp' AS packed, CASE WHEN regexp_replace(url, '([^/])\\.[^./]+$', '\\1') = url THEN url || '.out' ELSE regexp_replace(url, '([^/])\\.[^./]+$', '\\1') END AS unpacked FROM pages""")
+def default_paths(spark, sf):
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", report.compressed_path(F.col("url")).alias("packed"), report.decompressed_path(F.col("url")).alias("unpacked"))
+
+
+@query("SELECT conv_id, count(*) AS turns, sum(octet_length(encode(text)))::BIGINT AS bytes FROM conversations GROUP BY conv_id")
+def archive_nested_paths(spark, sf):
+    """Turns stored as conv/<id>/<turn>, listed and summed by folder."""
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select((F.col("conv_id") % 16).alias("shard"), F.concat(F.lit("conv/"), "conv_id", F.lit("/"), "turn").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    listed = archive.entries(archive.build(rows, "shard", "tar.zst"), ["shard"], payload=False)
+    return listed.groupBy(F.split("path", "/")[1].cast("long").alias("conv_id")).agg(F.count("*").alias("turns"), F.sum("size").alias("bytes"))
