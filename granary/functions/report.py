@@ -51,7 +51,7 @@ def decompressed_path(path: Column) -> Column:
 
 def names(text: Column, everything: list[str]) -> Column:
     """A list from a comma-separated text: trimmed, blanks dropped; all gives everything."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.lower(F.trim(text)) == "all", F.array(*map(F.lit, everything))).otherwise(parts)
 
 

@@ -18,7 +18,7 @@ def blobs(spark: SparkSession, path: str, recursive: bool = True, content: bool
 def folders(files: DataFrame, root: str) -> DataFrame:
     """The folders below root that hold files, from the files' paths."""
     inner = F.expr(f"substring(path, instr(path, '{root}') + {len(root.rstrip('/')) + 1})")
-    parts = F.split(F.ltrim(F.lit("/"), inner), "/")
+    parts = F.split(F.regexp_replace(inner, "^/+", ""), "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     return files.select(F.explode(F.when(F.size(parts) > 1, prefixes)).alias("folder")).distinct()
 
