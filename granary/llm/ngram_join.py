@@ -6,16 +6,17 @@ a set of n, a partner must share o = ceil(0.75 n), so the first n - o + l shingl
 candidates that its prefix is expected to bring, a longer prefix asking for more shared shingles before a pair is verified.
 Shingles of a single document come first in the order and can't be shared, so most documents need no index entry at all.
 
-No group of documents is multiplied out while a hub links it: members of a prefix group are first verified with its least
-member, then with one drawn by shingle, and only pairs that are still in different components meet each other, under
-the multi-match condition. Pairs in one component need no further link, so the components are exact.
+No pairs are emitted within a group. Members of a prefix group are first verified with its hub, the least of them; most groups are
+one component by then, and pairs in one component need no further link. Where a group holds several components, the members
+outside the largest are compared with all others under the multi-match condition, in blocks inside tasks, from which only links come out.
+So the components are exact, and no group is too large.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -28,6 +29,8 @@ WORDS, PERCENT = 5, 75
 #: Most shared prefix shingles that a document may ask for, and the cost of a verification against an index entry.
 MOST_MATCHES, VERIFY_COST = 8, 20.0
 CHUNK_BYTES = 512 << 10
+#: Sets in a block of a comparison, and shingles in a slice of its matrices.
+BLOCK_SETS, COLUMNS = 512, 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -184,32 +187,73 @@ def _near(small: str, large: str):
     return (100 * F.col(small) >= PERCENT * F.col(large)) & (100 * F.col(large) >= PERCENT * F.col(small))
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right set, as products of incidence matrices."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    lefts, rights = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+    common = np.intersect1d(lefts, rights)
+    places = []
+    for sets, flat in ((left, lefts), (right, rights)):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(common, flat).clip(0, max(0, len(common) - 1))
+        hit = common[at] == flat if len(common) else np.zeros(len(flat), bool)
+        places.append((owner[hit], at[hit]))
+    for begin in range(0, len(common), COLUMNS):
+        sides = []
+        for sets, (owner, at) in zip((left, right), places):
+            some = (at >= begin) & (at < begin + COLUMNS)
+            x = np.zeros((len(sets), min(COLUMNS, len(common) - begin)), np.float32)
+            x[owner[some], at[some] - begin] = 1
+            sides.append(x)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between the minor members of a hub's group and all of it (one block of each), one for each component that a member links to."""
+    minor, other = pdf[pdf["minor"]], pdf[~pdf["minor"]]
+    if not len(minor) or not len(other):
+        return pd.DataFrame([], columns=["a", "b"])
+    column = lambda f, c: f[c].to_numpy()
+    na, nb = column(minor, "n")[:, None], column(other, "n")[None, :]
+    ca, cb = column(minor, "component")[:, None], column(other, "component")[None, :]
+    asked = np.minimum(column(minor, "matches")[:, None], column(other, "matches")[None, :])
+    ok = (ca != cb) & (100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na)
+    ok &= _overlaps(list(minor["prefix"]), list(other["prefix"])) >= asked
+    rows, columns = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+    met = _overlaps([minor["shared"].iloc[k] for k in rows], [other["shared"].iloc[k] for k in columns])
+    linked = ok[np.ix_(rows, columns)] & (100 * met >= PERCENT * (na[rows] + nb[:, columns] - met))
+    i, j = np.nonzero(linked)
+    found = pd.DataFrame({"a": column(minor, "id")[rows[i]], "b": column(other, "id")[columns[j]], "c": cb[0, columns[j]]})
+    return found.drop_duplicates(["a", "c"])[["a", "b"]]
+
+
 def _linked(index: DataFrame) -> DataFrame:
-    """id, component of the representatives that link."""
-    entries = index.select("id", "n", "matches", F.explode("prefix").alias("token"))
-    entry = F.struct("id", "n")
-    hubs = B.group_min(entries, ["token"], entry, "hub")
-    pairs = hubs.filter((F.col("hub.id") != F.col("id")) & _near("n", "hub.n")).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialise(_verified(pairs, index))
-    for last in (False, True):
-        found = components(links)
-        labelled = entries.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-        labelled = materialise(labelled.join(mixed, "token", "left_semi"))
-        if not last:
-            drawn = F.struct(F.xxhash64("token", "id").alias("draw"), "id", "n", "component")
-            hubs = B.group_min(labelled, ["token"], drawn, "hub")
-            pairs = hubs.filter((F.col("hub.component") != F.col("component")) & _near("n", "hub.n")).select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b")).distinct()
-        else:
-            other = labelled.select("token", *(F.col(c).alias(f"other_{c}") for c in ("id", "n", "matches", "component")))
-            met = labelled.join(other, "token").filter((F.col("id") < F.col("other_id")) & (F.col("component") != F.col("other_component")) & _near("n", "other_n"))
-            pairs = met.groupBy(F.col("id").alias("a"), F.col("other_id").alias("b")).agg(F.count("*").alias("met"), F.first(F.least("matches", "other_matches")).alias("asked")).filter("met >= asked").select("a", "b")
-        more = materialise(_verified(pairs, index))
-        if not more.isEmpty():
-            links = materialise(links.unionByName(more))
-        elif last:
-            return found
-    return components(links)
+    """id, component of the representatives that link.
+
+    A group is a hub, the least member of a prefix shingle, with all members of the shingles that have this hub: a pair that shares a
+    prefix shingle is in a group together. Members are verified with their hub first. Where a group then holds several
+    components, its members outside the largest of them are compared with all others, block by block inside tasks.
+    """
+    entries = index.select("id", "n", F.explode("prefix").alias("token"))
+    hubs = B.group_min(entries, ["token"], F.struct("id", "n"), "hub")
+    groups = materialise(hubs.select(F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), "id", "n").distinct())
+    links = materialise(_verified(groups.filter((F.col("hub") != F.col("id")) & _near("n", "hub_n")).select(F.col("hub").alias("a"), F.col("id").alias("b")), index))
+    found = components(links)
+    labelled = materialise(groups.select("hub", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    sizes = labelled.groupBy("hub", "component").count().groupBy("hub").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.max("count").alias("most"), F.sum("count").alias("all"))
+    sizes = materialise(sizes.filter("most < all"))
+    if sizes.isEmpty():
+        return found
+    count = lambda n: F.ceil(n / F.lit(BLOCK_SETS)).cast("int")
+    mixed = labelled.join(sizes, "hub").withColumns({"minors": count(F.col("all") - F.col("most")), "alls": count(F.col("all"))})
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    minor = mixed.filter(F.col("component") != F.col("major")).select("hub", own("minors").alias("x"), every("alls").alias("y"), "id", "component", F.lit(True).alias("minor"))
+    other = mixed.select("hub", every("minors").alias("x"), own("alls").alias("y"), "id", "component", F.lit(False).alias("minor"))
+    members = minor.unionByName(other).join(index, "id")
+    more = materialise(members.groupBy("hub", "x", "y").applyInPandas(_compare, "a long, b long"))
+    return found if more.isEmpty() else components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

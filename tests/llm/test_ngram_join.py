@@ -122,3 +122,26 @@ def test_threshold(spark, edits, linked):
     rows = [(1, " ".join(words)), (2, " ".join(other))]
     assert result(spark, rows) == brute(rows)
     assert (result(spark, rows)[2][1] == 1) == linked
+
+
+def test_overlaps_of_blocks(monkeypatch):
+    monkeypatch.setattr(N, "COLUMNS", 3)
+    rng = np.random.default_rng(1)
+    left, right = ([np.unique(rng.integers(0, 40, rng.integers(0, 20))) for _ in range(n)] for n in (5, 7))
+    assert N._overlaps(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+    assert N._overlaps([], right).shape == (0, 7) and N._overlaps([np.empty(0, int)], right).tolist() == [[0] * 7]
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_large_loose_group(spark, monkeypatch, block):
+    """Many copies of one text with so many edits that some link, some don't, and few link to the hub."""
+    monkeypatch.setattr(N, "BLOCK_SETS", block)
+    rnd = random.Random(7)
+    words = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(70):
+        own = list(words)
+        for _ in range(rnd.randint(0, 7)):
+            own[rnd.randrange(len(own))] = f"e{rnd.randrange(30)}"
+        rows.append((k, " ".join(own)))
+    assert result(spark, rows) == brute(rows)
