@@ -54,8 +54,7 @@ class Phrases:
         self.begin = np.cumsum(sizes) - sizes
         n = len(flat) - SPAN + 1
         strings = (sizes - SPAN + 1).clip(0)
-        at = np.repeat(self.begin - np.cumsum(strings) + strings, strings) + np.arange(strings.sum())
-        if n <= 0 or not len(at):
+        if n <= 0 or not strings.any():
             self.owner = self.start = self.strings = np.empty(0, np.int64)
             self.minimizer = self.key = np.empty(0, np.uint64)
             return
@@ -65,16 +64,26 @@ class Phrases:
             least, width = np.minimum(least[:-width], least[width:]), width * 2
         rest = SPAN - ANCHOR + 1 - width
         least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-        least = least[at]
-        first = np.concatenate([[True], (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)])
-        heads = np.flatnonzero(first)
-        place = np.arange(len(at)) - np.repeat(heads, np.diff(np.append(heads, len(at))))
-        heads = np.flatnonzero(first | (place % PHRASE == 0))
-        self.strings = np.diff(np.append(heads, len(at)))
-        self.start, self.minimizer = at[heads], least[heads]
-        self.owner = np.searchsorted(self.begin, self.start, side="right") - 1
+        # a phrase begins with a new minimizer or a new piece, and ends where the strings of its piece end
+        bound = np.empty(n + 1, bool)
+        bound[0] = bound[n] = True
+        np.not_equal(least[1:], least[:-1], out=bound[1:n])
+        some = strings > 0
+        bound[self.begin[some]] = bound[(self.begin + strings)[some]] = True
+        start = np.flatnonzero(bound)
+        length = np.diff(start)
+        start = start[:-1]
+        owner = np.searchsorted(self.begin, start, side="right") - 1
+        real = start - self.begin[owner] < strings[owner]
+        start, length, owner = start[real], length[real], owner[real]
+        parts = -(-length // PHRASE)
+        part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        self.owner, self.start = np.repeat(owner, parts), np.repeat(start, parts) + part * PHRASE
+        self.strings = np.minimum(np.repeat(length, parts) - part * PHRASE, PHRASE)
+        self.minimizer = B.mix64(least[self.start])  # minima are small numbers; mixed again they spread over all buckets
         up, down = _powers(len(hashes))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up, dtype=np.uint64)])
+        total = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * up, out=total[1:])
         end = self.start + self.strings + SPAN - ANCHOR
         self.key = B.mix64((total[end] - total[self.start]) * down[self.start] + self.strings.astype(np.uint64))
 
@@ -89,7 +98,7 @@ def _anchor_hashes(flat: np.ndarray) -> np.ndarray:
     word = flat.astype(np.uint64)
     for width in (1, 2, 4):
         word = word[:-width] | (word[width:] << np.uint64(8 * width))
-    return B.mix64(B.mix64(word[:-8]) + word[8:] * np.uint64(0x9E3779B97F4A7C15))
+    return B.mix64(word[:-8] * np.uint64(0xC2B2AE3D27D4EB4F) + word[8:] * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _pieces(texts: list[bytes]):
