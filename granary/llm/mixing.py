@@ -19,7 +19,7 @@ from granary.llm.common import WORD, materialise, n_words
 WEIGHTS = (5, 2, 1)
 #: The mix takes 1.5 times all sizes; a source gives 2 times its size at most.
 SHARE, MOST_EPOCHS = 1.5, 2
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 KEY_BITS = 52
 
 
