@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bpe, chat, exact_dedup, licences, mixing, ngram_join, quality_model, quality_rules, suffix_dedup, toxicity
+from granary.llm import bpe, chat, exact_dedup, licences, mixing, ngram_join, oracles, quality_model, quality_rules, suffix_dedup, toxicity
 from granary.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -57,13 +57,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_ngram_join, op4_mixing, op5_quality_rules, op6_suffix_dedup, op7_quality_model, op8_bpe, op9_licences, op10_chat)}
 
-_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {
     "op2_exact_dedup": f"""
-WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents)
+WITH t AS (SELECT doc_id, {oracles.LOWER} AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
   doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256 FROM t""",
+    "op3_ngram_join": oracles.near_duplicates(),
     "op4_mixing": mixing.oracle_sql(),
+    "op6_suffix_dedup": oracles.suffix_dedup(),
     "op9_licences": licences.oracle_sql(),
     "op10_chat": chat.oracle_sql(f"SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{TRICKY}'), (-7, 1, 'assistant', '{TRICKY}'))"),
 }
