@@ -1,9 +1,11 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each sentence is normalised (lower case, runs of anything but letters and digits become one
-space) and mapped to the identifier of a known licence sentence. The identifiers of a text in order form its sequence, and
-every licence rule is an ordered list of identifiers: it matches where they follow each other in the sequence,
-whatever unknown sentences stand between. A rule that another matched rule contains as a part is not reported besides it.
+A text is normalised (lower case, runs of anything but letters and digits become one space; line ends and sentence ends stay
+as marks), and known licence sentences in it are mapped to their identifiers. A sentence of RULES has to stand between
+such marks; a full sentence of a real notice (VARIANTS) may follow and precede anything, as notices are also quoted in one run. Both
+may be wrapped over lines, with or without comment leaders, but never reach over a sentence's end. The identifiers of a
+text in order form its sequence, and every licence rule is an ordered list of identifiers: it matches where they follow each other in the
+sequence, whatever unknown sentences stand between. A rule that another matched rule contains as a part is not reported besides it.
 
 Only DataFrame functions are used. The tables of sentences and rules are fixed and small, and are literals of the plan.
 """
@@ -45,8 +47,55 @@ RULES = {
     "CC0-1.0": ["Released under CC0 1.0"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
 }
-#: Sentences end at a line's end or at a mark followed by white space. A full stop inside a number or an abbreviated "v." ends none.
-CUT = r"[\n\r]+|(?<!\bv)[.!?;]+(?=[\x20\t]|$)"
+#: Licences that are told from those of RULES by more sentences. oracle_sql() holds RULES alone.
+MORE_RULES = {
+    "BSD-3-Clause": [*RULES["BSD-2-Clause"], "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "BSD-4-Clause": [
+        *RULES["BSD-2-Clause"],
+        "All advertising materials mentioning features or use of this software must display the following acknowledgement",
+        "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ],
+}
+#: Sentence of RULES or MORE_RULES -> the full sentences of real notices that stand for it.
+VARIANTS = {
+    "Licensed under the Apache License, Version 2.0": ['Licensed under the Apache License, Version 2.0 (the "License")'],
+    "You may obtain a copy of the License at": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
+    "distributed under the License is distributed on an AS IS BASIS": [
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',
+    ],
+    "Permission is hereby granted, free of charge, to any person obtaining a copy": [
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions',
+    ],
+    "The above copyright notice and this permission notice shall be included in all copies": [
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software",
+    ],
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND": [
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
+    ],
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License": [
+        "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3",
+    ],
+    "This program is distributed in the hope that it will be useful": ["is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
+    "You should have received a copy of the GNU General Public License": ["You should have received a copy of the GNU General Public License along with"],
+    "Redistribution and use in source and binary forms, with or without modification, are permitted": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    ],
+    "Redistributions of source code must retain the above copyright notice": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
+    "Redistributions in binary form must reproduce the above copyright notice": [
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    ],
+    MORE_RULES["BSD-4-Clause"][3]: [MORE_RULES["BSD-4-Clause"][3]],
+    MORE_RULES["BSD-3-Clause"][-1]: [
+        MORE_RULES["BSD-3-Clause"][-1],
+        "nor the names of other contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ],
+}
+#: Stands for a sentence's end in a normalised text. Sentences end at a mark followed by white space; marks that begin a line lead a comment. A full
+#: stop inside a number or an abbreviated "v." ends none. A line's end stays a line feed, which a sentence may reach over.
+END = "\x01"
+MARK = r"(?m)(?=[.!?;])(?<!\bv)(?<!^[\x20\t.!?;]{0,64})[.!?;]++(?=[\x20\t\n\r]|\z)"
 
 
 def plain(sentence: str) -> str:
@@ -54,8 +103,16 @@ def plain(sentence: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower()).split())
 
 
-def normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9]+", " "))
+def normal(text: Column) -> Column:
+    """Words of a-z and 0-9 with spaces, line feeds and ENDs between them."""
+    text = F.regexp_replace(F.replace(text, F.lit(END), F.lit(" ")), MARK, END)
+    return F.concat(F.lit("\n"), F.regexp_replace(F.lower(text), rf"[^a-z0-9\n\r{END}]+", " "), F.lit("\n"))
+
+
+def pattern(sentences: list[str], full: list[str]) -> str:
+    """Finds normalised sentences between ends of lines or sentences, and full ones between any words; the longest first."""
+    any_of = lambda found: "|".join(x.replace(" ", r"[ \n\r]+") for x in sorted(found, key=len, reverse=True)) or "(?!)"
+    return rf"(?<![a-z0-9])(?:(?:{any_of(full)})(?![a-z0-9])|(?<=[\n\r{END}] ?)(?:{any_of(sentences)})(?= ?[\n\r{END}]))"
 
 
 def sentence_ids(rules: dict[str, list[str]]) -> dict[str, int]:
@@ -63,35 +120,41 @@ def sentence_ids(rules: dict[str, list[str]]) -> dict[str, int]:
     return {s: k for k, s in enumerate(dict.fromkeys(plain(x) for rule in rules.values() for x in rule), 1)}
 
 
-def scan(docs: DataFrame, rules: dict[str, list[str]] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, rules: dict[str, list[str]] = RULES | MORE_RULES, id_col: str = "doc_id", text_col: str = "text", variants: dict[str, list[str]] = VARIANTS) -> DataFrame:
     """One row per row of docs: id, n_sentences (known ones), sequence, licences (names joined by commas, in name order).
 
     A null or empty text has no sentence and the empty sequence. A sentence that occurs again counts again. Rows repeated are judged alike;
     other columns are not read. An empty table gives an empty result. A text without any known sentence gives empty strings.
     """
     known = sentence_ids(rules)
-    table = F.create_map(*(F.lit(x) for pair in known.items() for x in (pair[0], str(pair[1]))))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    sentences = F.transform(F.split(text, CUT), normal)
-    found = F.filter(F.transform(F.filter(sentences, lambda s: s.isin(list(known))), lambda s: table[s]), lambda k: k.isNotNull())
+    full = {plain(x): known[plain(s)] for s, more in variants.items() if plain(s) in known for x in more}
+    table = F.create_map(*(F.lit(x) for pair in (known | full).items() for x in (pair[0], str(pair[1]))))
+    hits = F.regexp_extract_all(normal(F.coalesce(F.col(text_col), F.lit(""))), F.lit(pattern(list(known), list(full))), F.lit(0))
+    found = F.transform(hits, lambda s: table[F.regexp_replace(s, r"[ \n\r]+", " ")])
     rows = docs.select(F.col(id_col), F.concat(F.lit(","), F.concat_ws(",", found), F.lit(",")).alias("sequence"), F.size(found).cast("long").alias("n_sentences"))
     orders = {name: [str(known[plain(x)]) for x in rule] for name, rule in rules.items()}
     names = []
     for name, order in sorted(orders.items()):
-        wider = [o for o in orders.values() if len(o) > len(order) and any(o[k : k + len(order)] == order for k in range(len(o)))]
         match = _follows(order)
-        for o in wider:
-            match = match & ~_follows(o)
+        for o in orders.values():
+            if len(o) > len(order) and _part_of(order, o):
+                match = match & ~_follows(o)
         names.append(F.when(match, F.lit(name)))
     return rows.select(id_col, "n_sentences", F.when(F.col("n_sentences") > 0, F.trim(F.translate("sequence", ",", " "))).otherwise("").alias("sequence"), F.concat_ws(",", *names).alias("licences"))
 
 
+def _part_of(order: list[str], wider: list[str]) -> bool:
+    """Whether the sentences of a rule stand in another in their order."""
+    rest = iter(wider)
+    return all(x in rest for x in order)
+
+
 def _follows(order: list[str]) -> Column:
     return F.col("sequence").like("%," + ",%,".join(order) + ",%") if len(order) == 1 else F.col("sequence").rlike("," + ",(?:[0-9]+,)*".join(order) + ",")
 
 
 def oracle_sql(rules: dict[str, list[str]] = RULES) -> str:
-    """DuckDB SQL for scan() over documents: the same rules by its own list functions."""
+    """DuckDB SQL for scan() over documents: the same rules by its own list functions. It cuts at every line's end and knows no VARIANTS."""
     known = sentence_ids(rules)
     orders = {name: [str(known[plain(x)]) for x in rule] for name, rule in rules.items()}
     values = ", ".join(f"('{s}', {k})" for s, k in known.items())
