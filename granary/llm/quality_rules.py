@@ -2,7 +2,10 @@
 
 Every rule votes good, bad or abstains on a document. Expectation-maximisation over all documents' votes estimates how
 often each rule is right on good and on bad documents, and a document stays if the posterior probability of
-good is at least one half: several weak doubts can outweigh a rule that is passed, and one unreliable rule rejects nothing by itself.
+good is at least one half: several weak doubts can outweigh a rule that is passed. How often rules are wrong on good documents is not estimated
+but held at FALSE_ALARM at most: a rule that fires alone, on documents that all others pass, may be the only one that sees a kind
+of junk, or wrong; votes can't tell which. So a bad vote is trusted, and a rule that often fires on clean documents does reject
+them. With false_alarm=None EM estimates this rate too; then such a rule rejects nothing by itself, and junk that one rule alone sees stays.
 The documents meet EM only as counts of vote patterns, at most 3^len(RULES) rows however large the corpus.
 """
 
@@ -23,7 +26,7 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct")
 GOOD, BAD, ABSTAIN = 1, 0, 2
-#: A rule is written so that it rejects at most this share of good documents; EM keeps to that.
+#: A rule is written so that it rejects at most this share of good documents; EM keeps to that unless told otherwise.
 FALSE_ALARM = 0.005
 
 
@@ -68,11 +71,12 @@ def rules(s) -> dict[str, Column]:
     }
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, false_alarm: float | None = FALSE_ALARM) -> tuple[float, np.ndarray]:
     """EM for two classes. patterns: (n, rules) of votes, counts: documents with each.
 
     Returns the share of good documents and p[rule, class], the probability of a good vote where the rule doesn't abstain.
-    Starts from "any bad vote means bad"; weak Beta priors keep empty cells finite and the classes from changing places.
+    Starts from "any bad vote means bad"; weak Beta priors keep empty cells finite and the classes from changing places. p[:, GOOD]
+    is 1 - false_alarm at least; with None it is estimated, and never below p[:, BAD].
     """
     good_vote, voted = (patterns == GOOD).astype(float), (patterns != ABSTAIN).astype(float)
     q = np.where((patterns == BAD).any(1), 0.1, 0.9)
@@ -83,7 +87,10 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tu
         for c, w in ((GOOD, counts * q), (BAD, counts * (1 - q))):
             p[:, c] = (w @ (good_vote * voted) + (19 if c == GOOD else 1)) / (w @ voted + (20 if c == GOOD else 2))
         p = p.clip(1e-6, 1 - 1e-6)
-        p[:, GOOD] = p[:, GOOD].clip(1 - FALSE_ALARM)
+        if false_alarm is None:
+            p[:, BAD] = np.minimum(p[:, BAD], p[:, GOOD])
+        else:
+            p[:, GOOD] = p[:, GOOD].clip(1 - false_alarm)
         q = posterior(patterns, prior, p)
         if np.abs(q - was).max(initial=0) < 1e-9:
             break
@@ -97,7 +104,7 @@ def posterior(patterns: np.ndarray, prior: float, p: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-odds.clip(-500, 500)))
 
 
-def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", false_alarm: float | None = FALSE_ALARM) -> DataFrame:
     """One row per row of docs: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, posterior, kept.
 
     A null text has no words; a text without words gets bad votes only. Ties: a posterior of exactly one half stays.
@@ -110,7 +117,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seen = rows.groupBy("votes").count().collect()  # 3^rules rows at most
     patterns = np.array([[int(c) for c in r["votes"]] for r in seen], dtype=int).reshape(len(seen), len(votes))
     counts = np.array([r["count"] for r in seen], dtype=float)
-    prior, p = fit_votes(patterns, counts)
+    prior, p = fit_votes(patterns, counts, false_alarm=false_alarm)
     verdicts = docs.sparkSession.createDataFrame([(r["votes"], float(x)) for r, x in zip(seen, posterior(patterns, prior, p))], "votes string, posterior double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = rows.join(F.broadcast(verdicts), "votes").withColumn("base_failed", failed)

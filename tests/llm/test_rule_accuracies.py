@@ -1,0 +1,18 @@
+import numpy as np
+import pytest
+
+from granary.llm import quality_rules as R
+
+
+def test_false_alarms_are_held_or_estimated():
+    rng = np.random.default_rng(1)
+    good = rng.random(200_000) < 0.85
+    rates = [(0.08, 0.5), (0.01, 0.7), (0.01, 0.6), (0.01, 0.5), (0.01, 0.6), (0.01, 0.7)]
+    bad = np.stack([np.where(good, rng.random(len(good)) < wrong, rng.random(len(good)) < caught) for wrong, caught in rates], 1)
+    patterns, place, counts = np.unique(np.where(bad, R.BAD, R.GOOD), axis=0, return_inverse=True, return_counts=True)
+    lost = {}
+    for rate in (R.FALSE_ALARM, None):
+        prior, p = R.fit_votes(patterns, counts.astype(float), false_alarm=rate)
+        lost[rate] = (good & (R.posterior(patterns, prior, p)[place.ravel()] < 0.5)).sum()
+    assert 1 - p[:, R.GOOD] == pytest.approx([x for x, _ in rates], abs=0.005) and 1 - p[:, R.BAD] == pytest.approx([x for _, x in rates], abs=0.02)
+    assert lost[None] < 0.01 * good.sum() < lost[R.FALSE_ALARM]  # the README's figures
