@@ -1,7 +1,7 @@
 """Archives as tables: rows of entries are folded into tar or zip blobs, and blobs are read back as rows of entries.
 
-An archive is one value, so its entries meet in one task. Folders of any size therefore go into volumes: `volumes` deals the
-entries of a key by a hash of their path over so many archives, each with its own row.
+An archive is one value, so its entries meet in one task. Folders of any size therefore go into volumes, each an archive with its own
+row: a key has one for every VOLUME_BYTES of its entries, and a hash of their path deals the entries over them.
 """
 
 from __future__ import annotations
@@ -22,12 +22,21 @@ from granary.operators import policy
 
 ENTRY = "ord int, path string, type string, size long, mtime timestamp, mode int, link_target string, content binary"
 _EPOCH = (1980, 1, 1, 0, 0, 0)
+#: Bytes of entries for each volume of a key, and what an entry weighs beside its content and path.
+VOLUME_BYTES, ENTRY_BYTES = 64 << 20, 1024
 
 
-def volume_of(path: Column, volumes: int) -> Column:
+def volume_of(path: Column, volumes: Column | int) -> Column:
     return F.pmod(F.xxhash64(path), F.lit(volumes)).cast("int")
 
 
+def volumes_of(entries: DataFrame, key: str = "key", volume_bytes: int | None = None) -> DataFrame:
+    """key, volumes of the keys that need more than one volume: a row for each volume_bytes of all entries at most, so this is small."""
+    weight = F.coalesce(F.octet_length("content"), F.lit(0)).cast("long") + F.octet_length("path") + ENTRY_BYTES
+    sizes = entries.groupBy(key, "path").agg(F.max(weight).alias("n")).groupBy(key).agg(F.sum("n").alias("n"))
+    return sizes.select(key, F.ceil(F.col("n") / F.lit(volume_bytes or VOLUME_BYTES)).cast("int").alias("volumes")).filter("volumes > 1")
+
+
 def last_written(entries: DataFrame, keys: list[str], order: Column, path: str = "path") -> DataFrame:
     """Of the entries of a key with one path, the last by `order`."""
     last = Window.partitionBy(*keys, path).orderBy(order.desc())
@@ -71,9 +80,12 @@ def _zip(level: int):
     return build
 
 
-def build(entries: DataFrame, key: str, name: str = "tar.zst", level: int = -1, volumes: int = 1) -> DataFrame:
+def build(entries: DataFrame, key: str, name: str = "tar.zst", level: int = -1, volumes: int | None = None) -> DataFrame:
     """key, path, content -> key, volume, archive, error: an archive of each key (and volume) in the format `name`, like tar.gz or zip.
 
+    Without `volumes` their number follows from the bytes of each key, so that what a task holds doesn't grow with the key; one entry is
+    never split. A given number is taken as it is.
+
     Entries stand in path order and carry no times, so equal entries give equal bytes. A path that ends in / is a folder. Of
     equal paths the last by content stays. Only the three columns are read; names that are no archive raise ValueError.
     """
@@ -89,7 +101,12 @@ def build(entries: DataFrame, key: str, name: str = "tar.zst", level: int = -1,
         rows = rows.sort_values(["path"], kind="stable")
         return pd.DataFrame([(*group, make(rows))], columns=["key", "volume", "archive"])
 
-    rows = entries.select(F.col(key).alias("key"), "path", F.col("content").cast("binary").alias("content"), volume_of(F.col("path"), volumes).alias("volume"))
+    rows = entries.select(F.col(key).alias("key"), "path", F.col("content").cast("binary").alias("content"))
+    if volumes is None:
+        many = volumes_of(rows).withColumnRenamed("key", "__key")
+        rows = rows.join(F.broadcast(many), rows["key"].eqNullSafe(many["__key"]), "left").withColumn("volume", volume_of(F.col("path"), F.coalesce("volumes", F.lit(1)))).drop("__key", "volumes")
+    else:
+        rows = rows.withColumn("volume", volume_of(F.col("path"), volumes))
     rows = last_written(rows, ["key"], F.col("content"))
     out = rows.groupBy("key", "volume").applyInPandas(fold, f"key {type_}, volume int, archive binary").withColumnRenamed("key", key)
     if p.codec == formats.UNKNOWN:
@@ -167,7 +184,7 @@ def missing(wanted: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def convert(archives: DataFrame, key: str, name: str, level: int = -1, content: str = "archive") -> DataFrame:
-    """The same entries in another archive format."""
+    """The same entries in another archive format, in volumes as build() makes them."""
     rows = entries(archives, [key], content).filter("error IS NULL AND type IN ('file', 'dir')")
     rows = rows.withColumn("path", F.when((F.col("type") == "dir") & ~F.col("path").endswith("/"), F.concat("path", F.lit("/"))).otherwise(F.col("path")))
     return build(rows.select(key, "path", "content"), key, name, level)

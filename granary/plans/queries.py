@@ -317,7 +317,7 @@ def _entries(spark: SparkSession, sf: str) -> DataFrame:
 
 def _archive_list(name: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        built = archive.build(_entries(spark, sf), "source", name, volumes=4)
+        built = archive.build(_entries(spark, sf), "source", name)
         return archive.entries(built, ["source"], payload=False).select("source", "path", "type", "size", "error")
 
     return run
@@ -329,7 +329,7 @@ for _name in ("tar", "zip", "tar.gz", "tar.bz2", "tar.xz", "tar.zst", "tar.lz4")
 
 @query("SELECT source, 'd/' || doc_id || '.txt' AS path, md5(text) AS digest FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def archive_extract_selected(spark, sf):
-    built = archive.build(_entries(spark, sf), "source", "tar.zst", volumes=4)
+    built = archive.build(_entries(spark, sf), "source", "tar.zst")
     wanted = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").select(F.concat(F.lit("d/"), "doc_id", F.lit(".txt")).alias("path"))
     return archive.extract(built, ["source"], wanted).filter("error IS NULL").select("source", "path", F.md5("content").alias("digest"))
 
@@ -338,7 +338,7 @@ def archive_extract_selected(spark, sf):
 def archive_missing(spark, sf):
     """Names that are asked for and aren't there."""
     half = _entries(spark, sf).filter(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long") % 2 == 0)
-    listed = archive.entries(archive.build(half, "source", "tar", volumes=4), ["source"], payload=False)
+    listed = archive.entries(archive.build(half, "source", "tar"), ["source"], payload=False)
     wanted = spark.read.parquet(f"{sf}/labels.parquet").select(F.concat(F.lit("d/"), "doc_id", F.lit(".txt")).alias("path"))
     return archive.missing(wanted, listed)
 
@@ -346,7 +346,7 @@ def archive_missing(spark, sf):
 @query("SELECT source, 'd/' || doc_id || '.txt' AS path, md5(text) AS digest FROM documents")
 def archive_convert(spark, sf):
     """zip to tar.xz: the same entries with the same contents."""
-    built = archive.build(_entries(spark, sf), "source", "zip", volumes=4)
+    built = archive.build(_entries(spark, sf), "source", "zip")
     whole = archive.convert(built.withColumn("key", F.concat_ws("|", "source", "volume")), "key", "tar.xz")
     rows = archive.entries(whole, ["key"])
     return rows.select(F.substring_index("key", "|", 1).alias("source"), "path", F.md5("content").alias("digest"))
@@ -359,7 +359,7 @@ def archive_plan_totals(spark, sf):
 
 @query("SELECT source, count(*) AS n_entries, sum(octet_length(encode(text)))::BIGINT AS total_size, NULL::VARCHAR AS reason, true AS can_run FROM documents GROUP BY source")
 def archive_plan_extraction(spark, sf):
-    return jobs.plan_extraction(archive.build(_entries(spark, sf), "source", "tar.gz", volumes=4), "source")
+    return jobs.plan_extraction(archive.build(_entries(spark, sf), "source", "tar.gz"), "source")
 
 
 @query("SELECT source, lang || '.txt' AS path, md5(arg_max(text, doc_id)) AS digest FROM documents GROUP BY source, lang")
