@@ -1,7 +1,7 @@
 """A corpus pipeline: quality filter, exact and near deduplication, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept; all but the last return the
-columns of documents. run() writes each stage's result to the shared folder and reads it back as the next one's input.
+columns of documents. Rows are told apart by a number that a stage writes once, so ids may be null or repeat. run() writes each stage's result to the shared folder and reads it back as the next one's input.
 """
 
 from __future__ import annotations
@@ -24,12 +24,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
-    return exact_dedup.keep_one(docs)
+    """Of equal texts the one with the largest doc_id stays, in a single row."""
+    return exact_dedup.keep_one(docs, repeats=False)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id stays."""
+    """Of each component of near copies the document with the smallest doc_id stays, in a single row."""
     return ngram_join.keep_one(docs)
 
 

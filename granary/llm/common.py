@@ -40,6 +40,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_rows(df: DataFrame, name: str) -> DataFrame:
+    """df with a number of each row in column `name`. It is written once, so every later use of a row sees the same number."""
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

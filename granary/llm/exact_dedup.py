@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import ascii_lower, materialise
+from granary.llm.common import ascii_lower, materialise, with_rows
 
 CHUNK_MIN, CHUNK_MAX = 256, 4096
 #: A hot group of copies is counted and joined in so many parts.
@@ -59,7 +59,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(parts, ["recipe", "salt"]).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    gone = deduplicate(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
+    """The rows of docs that stay, with all their columns.
+
+    Rows are judged one by one, so a null id or an id of two texts costs no other row. Rows that repeat the id that stays for their text
+    stay with it, as deduplicate() judges them; without `repeats` one of them stays, a single row of each text.
+    """
+    rows = with_rows(docs, "__row")
+    key = F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("__key")
+    found = deduplicate(rows.select(key, F.col(text_col).alias("text")), "__key")
+    stay = found.filter(F.col("__key.id").eqNullSafe(F.col("keep_id.id")) if repeats else F.col("kept"))
+    return rows.join(stay.select(F.col("__key.row").alias("__row")), "__row", "left_semi").select(*docs.columns)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import WORD, materialise, n_words
+from granary.llm.common import WORD, materialise, n_words, with_rows
 
 #: Weights by the sources' rank, repeating.
 WEIGHTS = (5, 2, 1)
@@ -42,17 +42,17 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return levels.select("source", "source_size", F.coalesce(F.least(capped, F.col("weight") * level), capped).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, range_rows: int = RANGE_ROWS, weights=WEIGHTS, share: float = SHARE, most_epochs: int = MOST_EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, range_rows: int = RANGE_ROWS, weights=WEIGHTS, share: float = SHARE, most_epochs: int = MOST_EPOCHS, row_col: str | None = None) -> DataFrame:
     """One row per row of docs: id, size, source_size, target, taken.
 
     size is the number of words (null text: 0), taken the words that the mix takes of the document, repeats counted. The
     document at which the budget ends gives the part up to it. A null source is a source like any other, ranked last.
     Ties in the random key are broken by id and size, so reruns agree whatever the partitioning; rows equal in all of these
-    are interchangeable. Other columns are not read. An empty table gives an empty result; an empty source has target 0.
+    are interchangeable. row_col, a number of each row, breaks these ties as well and is returned too. Other columns are not read. An empty table gives an empty result; an empty source has target 0.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     key = F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
-    rows = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key")))
+    rows = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"), *([F.col(row_col).alias("row")] if row_col else [])))
     ranges = max(1, -(-rows.count() // range_rows))
     rows = rows.withColumn("part", F.floor(F.col("key") / F.lit(2.0**KEY_BITS) * ranges))
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
@@ -60,23 +60,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("source", "part", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)).alias("start")).alias("p")
     starts = starts.join(targets.alias("t"), F.expr("p.source <=> t.source")).select("p.*", "source_size", "target").alias("s")
-    within = Window.partitionBy("r.source", "r.part").orderBy("r.key", F.col("r.id").asc_nulls_first(), "r.size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("r.source", "r.part").orderBy("r.key", F.col("r.id").asc_nulls_first(), "r.size", *(["r.row"] if row_col else [])).rowsBetween(Window.unboundedPreceding, -1)
     inner = rows.alias("r").withColumn("inside", F.coalesce(F.sum("r.size").over(within), F.lit(0))).alias("r")
     budget = F.floor(F.col("target"))
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size") - F.col("start") - F.col("inside")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return inner.join(starts, F.expr("r.source <=> s.source AND r.part = s.part")).select(F.col("r.id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    rows = inner.join(starts, F.expr("r.source <=> s.source AND r.part = s.part"))
+    own = [F.col("r.row").alias(row_col)] if row_col else []
+    return rows.select(F.col("r.id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), *own)
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", **how) -> DataFrame:
-    """The mix itself, with the columns of docs: each document as often as it is taken whole, and once more with its first words where a budget
-    ends inside it. chars_col, if docs has it, then counts what is left. Documents without words are in no mix. Ids must be unique.
+    """The mix itself, with the columns of docs: each row as often as it is taken whole, and once more with its first words where a budget
+    ends inside it. chars_col, if docs has it, then counts what is left. Documents without words are in no mix. Ids may be null or stand in
+    several rows; each row is planned and taken by itself.
     """
-    plan = mix(docs, id_col, text_col, source_col, **how).filter("taken > 0")
-    plan = plan.select(F.col(id_col).alias("__id"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("__whole"), (F.col("taken") % F.col("size")).cast("int").alias("__part"))
+    known = with_rows(docs, "__row")
+    plan = mix(known, id_col, text_col, source_col, row_col="__row", **how).filter("taken > 0")
+    plan = plan.select("__row", F.floor(F.col("taken") / F.col("size")).cast("int").alias("__whole"), (F.col("taken") % F.col("size")).cast("int").alias("__part"))
     part = F.when(F.col("__part") > 0, F.array(F.col("__part"))).otherwise(F.array().cast("array<int>"))
-    rows = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"])).withColumn("__words", F.explode(F.concat(F.array_repeat(F.lit(0), F.col("__whole")), part)))
+    rows = known.join(plan, "__row").withColumn("__words", F.explode(F.concat(F.array_repeat(F.lit(0), F.col("__whole")), part)))
     head = F.concat_ws("", F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("__words")))
     cut = {text_col: F.when(F.col("__words") > 0, head).otherwise(F.col(text_col))}
     if chars_col in docs.columns:

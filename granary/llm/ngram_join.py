@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from granary.llm import blocks as B
-from granary.llm.common import materialise, small_batches
+from granary.llm.common import materialise, small_batches, with_rows
 from granary.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -282,6 +282,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, one document of each component, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of docs that stay, one row of each component, with all their columns.
+
+    It is the row of the smallest id; a null id stays only where its component has no other. Rows are compared and judged one by one, so
+    null ids and ids of several rows link nothing and cost no other row. Ids must be integers.
+    """
+    rows = with_rows(docs, "__row")
+    found = near_duplicates(rows, "__row", text_col)
+    named = found.join(rows.select("__row", F.col(id_col).alias("__id")), "__row")
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row")))
+    stay = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("__row"))
+    return rows.join(stay, "__row", "left_semi").select(*docs.columns)
