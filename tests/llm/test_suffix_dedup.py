@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
+from granary.llm import run_index
 from granary.llm import suffix_dedup as S
 from granary.llm.run_index import RunIndex
 
@@ -25,39 +27,44 @@ def brute(rows):
     return out
 
 
-def result(spark, rows):
+def result(spark, rows, **how):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.deduplicate(df).collect()}
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.deduplicate(df, **how).collect()}
 
 
-def longest(strings, rooms, pattern, room, most):
+def found(strings, values, pattern, span):
+    """Matching statistics up to span, and the least value of the strings that hold span bytes."""
     out = []
     for i in range(len(pattern)):
         n = 0
-        while n < min(most, len(pattern) - i) and any(r == room and pattern[i : i + n + 1] in s for s, r in zip(strings, rooms)):
+        while n < min(span, len(pattern) - i) and any(pattern[i : i + n + 1] in s for s in strings):
             n += 1
-        out.append(n)
+        out.append((n, min([v for s, v in zip(strings, values) if n == span and pattern[i : i + n] in s], default=np.iinfo(np.int64).max)))
     return out
 
 
-def test_matching_statistics_against_search():
+def flat(strings):
+    return np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings])
+
+
+@pytest.mark.parametrize("triple", [1 << 21, 0])
+def test_matching_statistics_against_search(monkeypatch, triple):
+    monkeypatch.setattr(run_index, "TRIPLE", triple)
     rnd = random.Random(4)
-    for trial in range(60):
-        alphabet = b"ab" if trial % 2 else b"abcde"
-        some = lambda most: [bytes(rnd.choice(alphabet) for _ in range(rnd.randint(1, 40))) for _ in range(rnd.randint(1, most))]
+    for trial in range(80):
+        alphabet = [b"ab", b"abcde", b"a", bytes([0, 255])][trial % 4]
+        some = lambda most: [bytes(rnd.choice(alphabet) for _ in range(rnd.randint(1, 120 if trial % 3 else 30))) for _ in range(rnd.randint(1, most))]
         strings, patterns = some(10), some(8)
-        rooms, theirs = np.array([rnd.randrange(3) for _ in strings]), np.array([rnd.randrange(3) for _ in patterns])
-        flat = lambda x: (np.frombuffer(b"".join(x), np.uint8), np.array([len(s) for s in x]))
-        most = rnd.choice([5, 50])
-        index = RunIndex(*flat(strings), rooms)
-        want = [n for p, r in zip(patterns, theirs) for n in longest(strings, rooms, p, r, most)]
-        assert index.matching_statistics(*flat(patterns), theirs, most).tolist() == want
+        strings += [p[: rnd.randint(1, len(p))] for p in patterns[:3]]
+        values = np.array([rnd.randrange(100) for _ in strings])
+        span = rnd.choice([4, 5, 13, 50])
+        lengths, least = RunIndex(*flat(strings), values, span).stream(*flat(patterns))
+        assert list(zip(lengths.tolist(), least.tolist())) == [x for p in patterns for x in found(strings, values, p, span)]
 
 
 def test_runs_are_few_where_text_repeats():
     one = bytes(random.Random(1).choice(b"abcdefgh") for _ in range(300))
-    many = [one] * 50
-    index = RunIndex(np.frombuffer(b"".join(many), np.uint8), np.full(50, 300), np.zeros(50, int))
+    index = RunIndex(*flat([one] * 50), np.arange(50), 50)
     assert index.n_runs < 700  # of 15,050 symbols
 
 
@@ -73,6 +80,7 @@ def test_against_brute_force(spark):
     rows = list(enumerate(rows))
     rnd.shuffle(rows)
     assert result(spark, rows) == brute(rows)
+    assert result(spark, rows, hot_docs=5) == brute(rows)  # the commonest minimizers are dealt string by string
 
 
 def test_given_documents(spark, tiny):
@@ -85,7 +93,7 @@ def test_pieces_of_a_long_text_join(spark, monkeypatch):
     texts = [b"".join(bytes([rnd.randrange(97, 105)]) for _ in range(3000)) for _ in range(2)]
     monkeypatch.setattr(S, "PIECE_BYTES", 300)
     seen = set()
-    for phrases, doc, place in S._parsed(np.arange(2), texts):
+    for phrases, doc, place in S._parsed(texts, np.empty(0, np.uint64)):
         for d, p, n in zip(doc.tolist(), place.tolist(), phrases.strings.tolist()):
             assert not seen & {(d, p + k) for k in range(n)}
             seen |= {(d, p + k) for k in range(n)}
