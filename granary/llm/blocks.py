@@ -1,24 +1,17 @@
-"""Blocks of documents, and the hashes that several of them share.
+"""Blocks of documents, and helpers for the hashes that several of them share.
 
-Documents are dealt by id into blocks of a few MB of text, so that numpy works on whole blocks. A block sends its distinct
-64-bit hashes, packed and sorted, to buckets by their leading bits; a bucket merges its blocks' hashes and answers every block
-with those that also occur elsewhere. One message per block and bucket stands for thousands of rows, and a hash that is everywhere
-costs a bucket one entry per block and not one per document.
+Documents are dealt by id into blocks of a few MB of text, so that numpy works on whole blocks. A block gives each of its distinct hashes
+once, with the number of its documents that hold it, as plain rows; Spark counts them over all blocks. So the rows grow in
+step with the input, and a hash that is everywhere has a row for each block and not for each document.
 """
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
-#: Hashes travel without their leading bits, which the bucket tells in part; a rare false match only adds a candidate.
-WIRE_BYTES = 6
-WIRE_MASK = np.uint64((1 << (8 * WIRE_BYTES)) - 1)
 
 
 def n_blocks(total_bytes: int) -> int:
@@ -37,27 +30,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pack(hashes: np.ndarray) -> bytes:
-    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIRE_BYTES].tobytes()
-
-
-def unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // WIRE_BYTES, 8), np.uint8)
-    out[:, :WIRE_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, WIRE_BYTES)
-    return out.view("<u8").ravel()
-
-
 def bucket_shift(buckets: int) -> np.uint64:
     return np.uint64(64 - (buckets.bit_length() - 1))
 
 
-def to_buckets(block: int, hashes: np.ndarray, values: list[np.ndarray], buckets: int) -> pd.DataFrame:
-    """One message per bucket for ascending distinct hashes; values: int64 arrays beside them."""
-    edges = np.searchsorted(hashes, np.arange(buckets, dtype=np.uint64) << bucket_shift(buckets)).tolist() + [len(hashes)]
-    rows = [(b, block, pack(hashes[x:y]), *(v[x:y].astype("<i8").tobytes() for v in values)) for b, (x, y) in enumerate(zip(edges, edges[1:])) if x < y]
-    return pd.DataFrame(rows, columns=["bucket", "block", "hashes", *(f"v{k}" for k in range(len(values)))])
-
-
 def group_min(df: DataFrame, keys: list[str], value: Column, out: str, salts: int = 64) -> DataFrame:
     """df with the least value of each key as column `out`; a hot key is spread over `salts` tasks."""
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(value), F.lit(salts)))
@@ -65,8 +41,3 @@ def group_min(df: DataFrame, keys: list[str], value: Column, out: str, salts: in
     parts = parts.select(*keys, "__salt", F.min("__least").over(Window.partitionBy(*keys)).alias(out))
     return salted.join(parts, [*keys, "__salt"]).drop("__salt")
 
-
-def release(df: DataFrame) -> None:
-    """Lets Spark's cleaner drop the shuffle files of steps that are over: it does so when the JVM collects their plans."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()

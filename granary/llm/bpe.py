@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from granary.llm.common import small_batches
+from granary.functions.batches import bounded_batches
 
 #: Distinct pieces that a worker remembers with their tokens; beyond that it starts anew, which changes no result.
 REMEMBERED = 200_000
@@ -169,7 +169,7 @@ DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("i
 
 
 def _with_encoder(df: DataFrame, path: str, pattern: str) -> Callable[[], Encoder]:
-    small_batches(df.sparkSession, 1000)
+    bounded_batches(df.sparkSession)
     lines = df.sparkSession.sparkContext.broadcast(_rank_lines(path))  # the rank file: fixed size, under 1 MB
     return lambda: encoder(lines.value, pattern)
 

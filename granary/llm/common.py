@@ -24,9 +24,11 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share; a local one only where the session names none and runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -47,8 +49,3 @@ def with_rows(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds the rows of an Arrow batch, as a batch of long texts is held in memory whole."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

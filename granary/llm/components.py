@@ -9,14 +9,16 @@ from granary.llm.blocks import group_min
 from granary.llm.common import materialise
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """a, b -> id, component: the least id that each linked id reaches. Ids without links don't occur, nor does the least id itself.
 
-    Every step ties each id to the least of its neighbourhood, until only stars are left; the edges never leave the executors.
+    Every round ties each id to the least of its neighbourhood, until a round changes nothing: then only stars are left, however long the chains of
+    links are (the rounds grow with the logarithm of their length). The edges never leave the executors.
     """
     edges = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
-    was = None
-    for _ in range(rounds):
+    was, now = None, ()
+    while now != was:
+        was = now
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         # large star: every larger neighbour of v moves to the least of v's neighbourhood
         large = group_min(both, ["v"], F.col("u"), "near").select("v", F.col("u").alias("w"), F.least("near", "v").alias("m")).filter("w > v")
@@ -26,7 +28,4 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         small = least.select("v", F.col("m").alias("u")).unionByName(least.filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))).distinct()
         edges = materialise(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if now == was:
-            break
-        was = now
     return edges.select(F.col("v").alias("id"), F.col("u").alias("component"))

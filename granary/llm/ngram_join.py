@@ -1,10 +1,14 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 Documents are sets of five-word shingles, and two link at a Jaccard similarity of 0.75. Sets that are equal collapse to one
-representative first. Shingles are ordered from rare to frequent by exact document frequencies over all representatives. Of
-a set of n, a partner must share o = ceil(0.75 n), so the first n - o + l shingles of both hold l shared ones: each document chooses l by the
-candidates that its prefix is expected to bring, a longer prefix asking for more shared shingles before a pair is verified.
-Shingles of a single document come first in the order and can't be shared, so most documents need no index entry at all.
+representative first. Of a set of n, a partner must share o = ceil(0.75 n), so under any order of the shingles the first n - o + l of both
+hold l shared ones. A first pass uses the order of the hashes and drops each document whose prefix doesn't hold enough
+shingles that other prefixes hold too: it can have no partner. Those left are ordered from rare to frequent by exact document
+frequencies over all of them, and each chooses l by the candidates that its prefix is expected to bring, a longer prefix asking for
+more shared shingles before a pair is verified.
+
+Spark counts the shingles, a row for each distinct one of a block of documents, so rows grow in step with the input and a shingle that is
+everywhere has a row for each block.
 
 No pairs are emitted within a group. Members of a prefix group are first verified with its hub, the least of them; most groups are
 one component by then, and pairs in one component need no further link. Where a group holds several components, the members
@@ -16,18 +20,22 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from granary.llm import blocks as B
-from granary.llm.common import materialise, small_batches, with_rows
+from granary.llm.common import materialise, with_rows
 from granary.llm.components import components
 
 WORDS, PERCENT = 5, 75
 #: Most shared prefix shingles that a document may ask for, and the cost of a verification against an index entry.
 MOST_MATCHES, VERIFY_COST = 8, 20.0
+#: One in so many shingles lengthens the prefix of the first pass, and must be shared.
+FIRST_PASS = 10
+#: Members of a hub that are verified in one task.
+HUB_MEMBERS = 2_000
 CHUNK_BYTES = 512 << 10
 #: Sets in a block of a comparison, and shingles in a slice of its matrices.
 BLOCK_SETS, COLUMNS = 512, 4096
@@ -117,69 +125,96 @@ def choose_prefix(frequency: np.ndarray, n: int) -> tuple[int, int]:
     return int(held[best]), int(matches[best])
 
 
+def first_prefix(n: int) -> tuple[int, int]:
+    """How many of the hash-least shingles of n the first pass reads, and how many of these must stand in other prefixes too.
+
+    A partner has ceil(0.75 n) shingles at least, and lengthens its own prefix in proportion to its size.
+    """
+    need = -(-PERCENT * n // 100)
+    return min(n, n - need - (-n // FIRST_PASS)), -(-need // FIRST_PASS)
+
+
+#: What a block is told besides its texts: documents to read (value: id) and shared shingles (value: leading bits of the hash).
+DOCUMENT, SHINGLE = 0, 1
+
+
+def _code(hashes: np.ndarray) -> np.ndarray:
+    """The leading 48 bits, which travel; a rare false match only adds a candidate."""
+    return (hashes >> np.uint64(16)).view(np.int64)
+
+
 def _index(docs: DataFrame, keys: DataFrame, blocks: int) -> DataFrame:
     """id, n, matches, prefix, shared of each representative whose prefix holds a shared shingle."""
-    text = docs.filter("id IS NOT NULL").withColumn("block", B.block_of(F.col("id"), blocks))
-    reps = keys.select(B.block_of(F.col("id"), blocks).alias("block"), "id")
-
-    def send(key, left, right):
-        left = left[left["id"].isin(right["id"])]
-        sets = shingle_sets(left["text"].to_list())
-        found, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, int))
-        return B.to_buckets(int(key[0]), found, [counts], blocks)
-
-    def merge(pdf):
-        parts = [B.unpack(x) for x in pdf["hashes"]]
-        hashes, counts = np.concatenate(parts), np.concatenate([np.frombuffer(x, "<i8") for x in pdf["v0"]])
-        _, place = np.unique(hashes, return_inverse=True)
-        frequency = np.bincount(place, counts).astype("<i8")[place]
-        cuts = np.cumsum([0, *map(len, parts)])
-        rows = []
-        for block, bucket, a, b in zip(pdf["block"], pdf["bucket"], cuts, cuts[1:]):
-            some = frequency[a:b] > 1
-            if some.any():
-                rows.append((block, bucket, B.pack(hashes[a:b][some]), frequency[a:b][some].tobytes()))
-        return pd.DataFrame(rows, columns=["block", "bucket", "hashes", "frequency"])
+    text = docs.filter("id IS NOT NULL").withColumn("block", B.block_of(F.col("id"), blocks)).groupBy("block")
+    told = lambda df, kind, value, often=F.lit(0).cast("long"): df.select("block", F.lit(kind).alias("kind"), F.col(value).alias("value"), often.alias("often"))
+
+    def sets_of(left, right):
+        """Ids and sets of the documents to read, and the shared shingles with their frequencies."""
+        kind, value, often = (right[c].to_numpy() for c in ("kind", "value", "often"))
+        left = left[left["id"].isin(value[kind == DOCUMENT])].drop_duplicates("id")
+        codes, often = value[kind == SHINGLE], often[kind == SHINGLE]
+        order = np.argsort(codes)
+        return left["id"].tolist(), shingle_sets(left["text"].to_list()), codes[order], often[order]
+
+    def look_up(s, codes, often):
+        """Frequencies of the shingles, 0 for those that nobody shares."""
+        if not len(codes):
+            return np.zeros(len(s), np.int64)
+        at = np.searchsorted(codes, _code(s)).clip(0, len(codes) - 1)
+        return np.where(codes[at] == _code(s), often[at], 0)
+
+    def send(prefixes):
+        def rows(key, left, right):
+            _, sets, *_ = sets_of(left, right)
+            sets = [s[: first_prefix(len(s))[0]] for s in sets] if prefixes else sets
+            found, counts = np.unique(_code(np.concatenate([np.empty(0, np.uint64), *sets])), return_counts=True)
+            return pd.DataFrame({"hash": found, "block": np.full(len(found), int(key[0]), np.int32), "docs": counts.astype(np.int32)})
+
+        return rows
+
+    def survivors(key, left, right):
+        ids, sets, codes, often = sets_of(left, right)
+        stay = [(i, int(key[0])) for i, s in zip(ids, sets) if np.count_nonzero(look_up(s[: first_prefix(len(s))[0]], codes, often)) >= first_prefix(len(s))[1]]
+        return pd.DataFrame(stay, columns=["id", "block"])
 
     def choose(key, left, right):
-        reps, answers = right[right["id"].notna()], right[right["bucket"].notna()].sort_values("bucket")
+        ids, sets, codes, often = sets_of(left, right)
         out = []
-        if len(answers):
-            shift = B.bucket_shift(blocks)
-            known = np.concatenate([B.unpack(h) | (np.uint64(int(b)) << np.uint64(48)) for b, h in zip(answers["bucket"], answers["hashes"])])
-            frequency = np.concatenate([np.frombuffer(x, "<i8") for x in answers["frequency"]])
-            order = np.argsort(known)
-            known, frequency = known[order], frequency[order]
-            left = left[left["id"].isin(reps["id"].astype("int64"))]
-            for id_, s in zip(left["id"], shingle_sets(left["text"].to_list())):
-                code = (s & B.WIRE_MASK) | ((s >> shift) << np.uint64(48))
-                at = np.searchsorted(known, code).clip(0, len(known) - 1)
-                hit = known[at] == code
-                shared, often = s[hit], frequency[at[hit]]
-                order = np.lexsort((shared, often))
-                shared, often = shared[order].view(np.int64), often[order]
-                held, matches = choose_prefix(often, len(s))
-                if held:
-                    out.append((id_, len(s), matches, shared[:held], shared))
+        for id_, s in zip(ids, sets):
+            times = look_up(s, codes, often)
+            shared, times = s[times > 0], times[times > 0]
+            order = np.lexsort((shared, times))
+            shared, times = shared[order].view(np.int64), times[order]
+            held, matches = choose_prefix(times, len(s))
+            if held:
+                out.append((id_, len(s), matches, shared[:held], shared))
         return pd.DataFrame(out, columns=["id", "n", "matches", "prefix", "shared"])
 
-    sent = text.groupBy("block").cogroup(reps.groupBy("block")).applyInPandas(send, "bucket int, block int, hashes binary, v0 binary")
-    answers = sent.groupBy("bucket").applyInPandas(merge, "block int, bucket int, hashes binary, frequency binary")
-    beside = reps.unionByName(answers, allowMissingColumns=True)
-    return text.groupBy("block").cogroup(beside.groupBy("block")).applyInPandas(choose, "id long, n long, matches int, prefix array<long>, shared array<long>")
+    def answered(documents, prefixes):
+        """The documents, and what they share, beside each other by block."""
+        rows = text.cogroup(documents.groupBy("block")).applyInPandas(send(prefixes), "hash long, block int, docs int")
+        counted = rows.withColumn("often", F.sum("docs").over(Window.partitionBy("hash"))).filter("often > 1")
+        return text.cogroup(documents.unionByName(told(counted, SHINGLE, "hash", F.col("often"))).groupBy("block"))
+
+    reps = told(keys.withColumn("block", B.block_of(F.col("id"), blocks)), DOCUMENT, "id")
+    left = told(materialise(answered(reps, True).applyInPandas(survivors, "id long, block int")), DOCUMENT, "id")
+    return answered(left, False).applyInPandas(choose, "id long, n long, matches int, prefix array<long>, shared array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b whose sets are similar enough. Only what a pair needs is moved: sets of ids that are in no pair stay."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"s{x}"))
+    """The pairs a, b whose sets are similar enough; pairs that share too few prefix shingles aren't compared as wholes.
+
+    The set of an a with many pairs is copied to one task for each HUB_MEMBERS of them.
+    """
+    side = lambda x: sets.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "matches", "prefix", "shared")))
     pairs = materialise(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if pairs.count() <= 50_000:  # at most 1 MB of ids
-        ids = F.broadcast(ids)
-    sets = sets.join(ids, "id", "left_semi")
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    met = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * met >= PERCENT * (F.col("na") + F.col("nb") - met)).select("a", "b")
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(HUB_MEMBERS)).cast("int").alias("parts"))
+    salted = pairs.join(hubs, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
+    ones = side("a").join(hubs, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    both = salted.join(side("b"), "b").join(ones, ["a", "part"])
+    met = F.size(F.array_intersect("shared_a", "shared_b"))
+    asked = F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("matches_a", "matches_b")
+    return both.filter(asked).filter(100 * met >= PERCENT * (F.col("n_a") + F.col("n_b") - met)).select("a", "b")
 
 
 def _near(small: str, large: str):
@@ -263,15 +298,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated, or with equal sets, form one component. Ids must be integers; a null id gets a null component unless a copy has
     an id. Other columns are not read. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = materialise(rows.select("id", F.octet_length("text").alias("bytes"), set_key("text").alias("k")).select("id", "bytes", "k.*"))
     blocks = B.n_blocks(keyed.agg(F.sum("bytes")).first()[0] or 0)
     some = keyed.filter("n > 0")
     classes = materialise(some.groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.collect_set(F.pmod(F.xxhash64("id"), F.lit(64))).alias("salts")))
     index = materialise(_index(rows, classes.filter("id IS NOT NULL").select("id"), blocks))
-    B.release(docs)
     found = _linked(index)
     named = classes.join(found, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
     named = named.select("k1", "k2", "n", F.explode("salts").alias("salt"), "component_id")

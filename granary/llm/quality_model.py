@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from granary.llm.common import small_batches
+from granary.functions.batches import bounded_batches
 from granary.llm.sampling import FIT_ROWS, held_out, labelled_sample
 
 N_STATS = 21
@@ -130,7 +130,7 @@ def stats_array(texts: pd.Series) -> pd.Series:
 
 def train(docs: DataFrame, labels: DataFrame, held: Column, label_col: str = "quality", limit: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Trees:
     """Fits on at most about `limit` labelled documents; only their statistics reach the driver."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = labelled_sample(docs, labels, label_col, held, limit, id_col, text_col).select(stats_array("text").alias("x"), "label").toPandas()
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, N_STATS))
     return fit(x, rows["label"].to_numpy(dtype=float))
@@ -150,7 +150,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per row of docs: id, held_out, score, predicted.
 
     A null text is scored as an empty one. Labels are read only of rows that are not held out; lang, source and ids are no inputs
-    of a score. Rows repeated get equal scores. Without usable labels each score is one half. Other columns are not read.
+    of a score. Rows repeated get equal scores. Without usable labels each score is one half. Whole texts are read, however long. A score of
+    exactly `least` is predicted as 1. An empty table gives an empty result. Other columns are not read, so their names can't clash.
     """
     trees = train(docs, labels, held_out(F.col(id_col), modulus, remainder), limit=limit, id_col=id_col, text_col=text_col)
     scored = docs.select(F.col(id_col), held_out(F.col(id_col), modulus, remainder).alias("held_out"), scorer(trees)(F.col(text_col)).alias("score"))

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import re
 
 import duckdb
 import public_tokenizers as P
@@ -97,6 +98,28 @@ def test_windows_repeat_system_and_history(spark):
     assert masked == ["".join(f"turn{k} " * 9 for k in ks) for ks in ((2, 4), (6, 8))]
 
 
+def test_windows_keep_their_budget(spark):
+    rnd = random.Random(5)
+    lengths = [0, 3, 30, 39, 40, 41, 200]
+    rows = [(c, t, "system" if t == 0 and c % 2 else rnd.choice(["user", "assistant"]), " ".join("w" * rnd.choice(lengths))) for c in range(12) for t in range(60)]
+    rows += [(c, 70, "assistant", "same turn") for c in range(6)] * 2 + [(3, None, "user", "no turn number"), (None, 1, "user", "a"), (None, 2, "assistant", "b")]
+    how = dict(own=60, history=25, turn_most=40, system_most=30)
+    windows = talk(spark, rows, **how, range_turns=7).collect()
+    assert sorted(map(tuple, windows), key=repr) == sorted(map(tuple, talk(spark, rows, **how, range_turns=1000).collect()), key=repr)
+    said = chat.read_back(talk(spark, rows, **how, range_turns=7)).collect()
+    assert {r.conv_id: tuple(r)[1:5] for r in said} == expected(rows)
+    for w in windows:
+        turns = re.findall(r"(?s)<\|(turn|again)\|>(.*?)<\|text\|>(.*?)<\|end\|>", w.formatted)
+        size = lambda t: len(t[2].split()) + 1
+        assert w.tokens == sum(map(size, turns)) and w.over == (w.tokens > 155)
+        own = [t for t in turns if t[0] == "turn" and t[1] != "system"]
+        long = [t for t in own if size(t) > 40]
+        assert not long or len(own) == 1  # an overlong turn has a window of its own
+        if w.over:
+            assert long or any(t[1] == "system" and size(t) > 30 for t in turns)
+    assert any(w.over for w in windows)
+
+
 def test_chat_edges(spark):
     assert chat.read_back(talk(spark, [])).collect() == []
     df = spark.createDataFrame([(1, 0, "user", "x", "clash")], CHAT + ", window string")
