@@ -1,7 +1,8 @@
 """A corpus pipeline: quality filter, exact and near deduplication, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept; all but the last return the
-columns of documents. Rows are told apart by a number that a stage writes once, so ids may be null or repeat. run() writes each stage's result to the shared folder and reads it back as the next one's input.
+columns of documents. Rows are told apart by a number that a stage writes once, so ids may be null or repeat. A null text counts as an empty one in
+every stage, an empty table gives an empty result, and columns beside those of documents pass through unread, but for the last stage, which returns its own. run() writes each stage's result to the shared folder and reads it back as the next one's input.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import bpe, exact_dedup, mixing, ngram_join, quality_model
-from granary.llm.common import materialise, small_batches, table
+from granary.llm.common import materialise, table
 from granary.llm.queries import RANKS
 from granary.llm.sampling import held_out
 
@@ -19,7 +20,6 @@ from granary.llm.sampling import held_out
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores under one half go. It is fitted on labelled rows of docs."""
     trees = quality_model.train(docs, table(spark, sf_dir, "labels"), held_out(F.col("doc_id"), 3, 1))
-    small_batches(spark)
     return docs.filter(quality_model.scorer(trees)(F.col("text")) >= 0.5)
 
 
