@@ -1,4 +1,7 @@
-"""The six codecs as Arrow-batched UDFs. A failure is a value: struct<data, error>, so that one bad blob fails no job."""
+"""The six codecs as Arrow-batched UDFs. A failure is a value: struct<data, error>, so that one bad blob fails no job.
+
+What a blob decodes to is bounded too: decoders stop at a limit, so that a few bytes that claim gigabytes are an error row.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +9,13 @@ import bz2
 import lzma
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import repeat
 
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -19,17 +23,33 @@ from pyspark.sql.functions import pandas_udf
 RESULT = T.StructType([T.StructField("data", T.BinaryType()), T.StructField("error", T.StringType())])
 #: Raw bytes in a block of framed snappy, and the memory that decoding xz may take.
 BLOCK, LZMA_MEMORY = 65536, 512 << 20
+#: Packed bytes that go into a zstd decoder at once; each can become 128 KiB at most.
+STEP = 1 << 14
 #: A blob is one value of a column, and those end at 2 GiB.
 MAX_BLOB = (1 << 31) - 1
+#: Bytes that a blob may decode to unless a caller says otherwise; a batch of them must fit in a worker and in one Arrow column.
+MAX_DECODED = 1 << 30
+#: The smallest dictionary of lzma.
+LEAST_DICTIONARY = 4096
 
 
-def _complete(decoder, data: bytes) -> bytes:
-    out = decoder.decompress(data)
+def complete(decoder, data: bytes, most: int) -> bytes:
+    """What a decoder with a limit per call makes of data, which must be a whole stream."""
+    out = decoder.decompress(data, most + 1)
+    if len(out) > most:
+        raise ValueError(f"decodes to more than {most} bytes")
     if not decoder.eof:
         raise ValueError("truncated stream")
     return out
 
 
+def read_all(stream, most: int) -> bytes:
+    out = stream.read(most + 1)
+    if len(out) > most:
+        raise ValueError(f"decodes to more than {most} bytes")
+    return out
+
+
 def snappy_frames(data: bytes) -> bytes:
     """Blocks of raw length, packed length (little-endian, 32 bits each) and raw snappy, without an end mark."""
     out = []
@@ -40,8 +60,8 @@ def snappy_frames(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def snappy_unframe(data: bytes) -> bytes:
-    out, at = [], 0
+def snappy_unframe(data: bytes, most: int = MAX_DECODED) -> bytes:
+    out, at, total = [], 0, 0
     while at < len(data):
         if at + 8 > len(data):
             raise ValueError("truncated stream")
@@ -51,6 +71,9 @@ def snappy_unframe(data: bytes) -> bytes:
             break
         if size > BLOCK or at + packed > len(data):
             raise ValueError("bad snappy block")
+        total += size
+        if total > most:
+            raise ValueError(f"decodes to more than {most} bytes")
         raw = pa.decompress(data[at : at + packed], decompressed_size=size, codec="snappy", asbytes=True)
         if len(raw) != size:
             raise ValueError("bad snappy block")
@@ -59,13 +82,21 @@ def snappy_unframe(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def zstd_decode(data: bytes) -> bytes:
+def zstd_decode(data: bytes, most: int = MAX_DECODED) -> bytes:
     """All frames, each of which must be complete."""
-    out = []
+    out, total = [], 0
     while data:
-        decoder = zstandard.ZstdDecompressor().decompressobj()
-        out.append(_complete(decoder, data))
-        data = decoder.unused_data
+        decoder = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
+        for at in range(0, len(data), STEP):
+            out.append(decoder.decompress(data[at : at + STEP]))
+            total += len(out[-1])
+            if total > most:
+                raise ValueError(f"decodes to more than {most} bytes")
+            if decoder.eof:
+                break
+        if not decoder.eof:
+            raise ValueError("truncated stream")
+        data = decoder.unused_data + data[at + STEP :]
     return b"".join(out)
 
 
@@ -74,23 +105,35 @@ def lz4_encode(data: bytes, level: int) -> bytes:
     return codec.compress(data, asbytes=True)
 
 
-def lz4_decode(data: bytes) -> bytes:
+def lz4_decode(data: bytes, most: int = MAX_DECODED) -> bytes:
     with pa.CompressedInputStream(pa.BufferReader(data), "lz4") as stream:
-        return stream.read()
+        return read_all(stream, most)
+
+
+def lzma_filters(size: int, level: int, extreme: bool) -> list[dict]:
+    """The preset's filter with a dictionary no larger than the data needs; a smaller one packs the same and is much cheaper to set up."""
+    preset = (6 if level < 0 else min(level, 9)) | (lzma.PRESET_EXTREME if extreme else 0)
+    dictionary = max(LEAST_DICTIONARY, 1 << max(0, size - 1).bit_length())
+    return [{"id": lzma.FILTER_LZMA2, "preset": preset} | ({"dict_size": dictionary} if dictionary < 1 << 18 else {})]
+
+
+def bzip2_level(size: int, level: int) -> int:
+    """Blocks of level * 100,000 bytes; more than the data fill changes only the cost."""
+    return min(level if 1 <= level <= 9 else 9, max(1, -(-size // 90_000)))
 
 
 ENCODERS: dict[str, Callable[[bytes, int], bytes]] = {
     "zlib": lambda x, n: zlib.compress(x, n if 0 <= n <= 9 else -1),
-    "bzip2": lambda x, n: bz2.compress(x, n if 1 <= n <= 9 else 9),
-    "lzma": lambda x, n: lzma.compress(x, check=lzma.CHECK_CRC64, preset=(6 if n < 0 else min(n, 9)) | lzma.PRESET_EXTREME),
+    "bzip2": lambda x, n: bz2.compress(x, bzip2_level(len(x), n)),
+    "lzma": lambda x, n: lzma.compress(x, check=lzma.CHECK_CRC64, filters=lzma_filters(len(x), n, True)),
     "zstd": lambda x, n: zstandard.ZstdCompressor(level=3 if n < 0 else min(n, 22)).compress(x),
     "lz4": lz4_encode,
     "snappy": lambda x, _: snappy_frames(x),
 }
-DECODERS: dict[str, Callable[[bytes], bytes]] = {
-    "zlib": lambda x: _complete(zlib.decompressobj(), x),
-    "bzip2": lambda x: _complete(bz2.BZ2Decompressor(), x),
-    "lzma": lambda x: _complete(lzma.LZMADecompressor(memlimit=LZMA_MEMORY), x),
+DECODERS: dict[str, Callable[[bytes, int], bytes]] = {
+    "zlib": lambda x, most=MAX_DECODED: complete(zlib.decompressobj(), x, most),
+    "bzip2": lambda x, most=MAX_DECODED: complete(bz2.BZ2Decompressor(), x, most),
+    "lzma": lambda x, most=MAX_DECODED: complete(lzma.LZMADecompressor(memlimit=LZMA_MEMORY), x, most),
     "zstd": zstd_decode,
     "lz4": lz4_decode,
     "snappy": snappy_unframe,
@@ -117,9 +160,14 @@ def encode_udf(content: pd.Series, codec: pd.Series, level: pd.Series) -> pd.Dat
     return pd.DataFrame([_apply(ENCODERS, c, x, -1 if pd.isna(n) else int(n)) for x, c, n in zip(content, codec, level)], columns=RESULT.names)
 
 
+def _limits(most: pd.Series | None) -> Iterable[int]:
+    """The limit of each row; a null one is the default, and none is above what a value can hold."""
+    return repeat(MAX_DECODED) if most is None else [MAX_DECODED if pd.isna(m) else max(0, min(int(m), MAX_BLOB)) for m in most]
+
+
 @pandas_udf(RESULT)
-def decode_udf(content: pd.Series, codec: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_apply(DECODERS, c, x) for x, c in zip(content, codec)], columns=RESULT.names)
+def decode_udf(content: pd.Series, codec: pd.Series, most: pd.Series = None) -> pd.DataFrame:
+    return pd.DataFrame([_apply(DECODERS, c, x, m) for x, c, m in zip(content, codec, _limits(most))], columns=RESULT.names)
 
 
 def compress(content: Column, codec: Column | str, level: Column | int = -1) -> Column:
@@ -128,9 +176,20 @@ def compress(content: Column, codec: Column | str, level: Column | int = -1) ->
     return encode_udf(content.cast("binary"), lit(codec), lit(level).cast("int"))
 
 
-def decompress(content: Column, codec: Column | str) -> Column:
-    """struct<data, error>: a truncated or damaged stream gives an error."""
-    return decode_udf(content, codec if isinstance(codec, Column) else F.lit(codec))
+def decompress(content: Column, codec: Column | str, most: Column | int = MAX_DECODED) -> Column:
+    """struct<data, error>: a truncated or damaged stream gives an error, and so does one of more than `most` decoded bytes."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return decode_udf(content, lit(codec), lit(most).cast("long"))
+
+
+def spread(blobs: DataFrame) -> DataFrame:
+    """blobs dealt over a task for each core, if their scan has at most half as many splits; else as they are.
+
+    That is one shuffle of the blobs, worth it before a codec that is slower than a shuffle. A table of many splits, as at scale, never moves. For
+    scans: a plan with a shuffle of its own would run up to it to count its splits.
+    """
+    cores = blobs.sparkSession.sparkContext.defaultParallelism
+    return blobs.repartition(cores) if 2 * blobs.rdd.getNumPartitions() <= cores else blobs
 
 
 def effective_level(codec: Column, level: Column) -> Column:
@@ -154,10 +213,6 @@ def max_compressed_size(codec: Column, size: Column) -> Column:
         .when(codec == "bzip2", n + part(100) + 600)
         .when(codec == "lzma", n + part(3) + 131072)
         .when(codec == "zstd", n + part(256) + F.when(n < 131072, F.floor((131072 - n) / 2048)).otherwise(0))
+        .when(codec == "lz4", n + part(255) + 19 + 4 * F.ceil(n / 65536))
         .when(codec == "snappy", 32 + n + part(6))
     )
-
-
-def small_blobs(spark: SparkSession, rows: int = 64) -> None:
-    """Bounds the blobs of an Arrow batch, which a Python worker holds whole."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

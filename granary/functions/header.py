@@ -45,10 +45,10 @@ def inspect(content: Column) -> Column:
     short, magic = F.octet_length(content) < SIZE, F.substring(content, 1, 4) == F.lit(bytearray(MAGIC))
     named = F.element_at(F.map_from_arrays(F.array(*map(F.lit, CODECS.values())), F.array(*map(F.lit, CODECS))), algo)
     reason = (
-        F.when(short, "File too small to be a valid container")
-        .when(~magic, "Invalid magic number")
-        .when(version != VERSION, F.concat(F.lit("Unsupported header version: "), version.cast("string")))
-        .when(size > MAX_SIZE, F.concat(F.lit("Original size "), size.cast("string"), F.lit(f" exceeds maximum limit {MAX_SIZE}")))
+        F.when(short, f"shorter than the {SIZE} bytes of a header")
+        .when(~magic, "magic bytes of no container")
+        .when(version != VERSION, F.concat(F.lit("version "), version.cast("string"), F.lit(" not known")))
+        .when(size > MAX_SIZE, F.concat(F.lit("claims "), size.cast("string"), F.lit(f" bytes, more than {MAX_SIZE}")))
     )
     ok = reason.isNull()
     known = ok & named.isNotNull()
@@ -57,7 +57,7 @@ def inspect(content: Column) -> Column:
     return F.struct(
         F.coalesce(~short & magic & (version == VERSION), F.lit(False)).alias("is_container"),
         ok.alias("header_ok"),
-        F.coalesce(reason, F.when(named.isNull(), "No available backend for this algorithm")).alias("reason"),
+        F.coalesce(reason, F.when(named.isNull(), "names no codec")).alias("reason"),
         when(version).alias("version"),
         when(algo).alias("algo_id"),
         when(named).alias("algo_name"),

@@ -16,6 +16,11 @@ def mb_per_s(size: Column, seconds: Column) -> Column:
     return F.when(seconds != 0, size / MB / seconds).otherwise(0.0)
 
 
+def saved_bytes(compressed: Column, size: Column) -> Column:
+    """Bytes that packing saves; negative where it adds some."""
+    return size - compressed
+
+
 def saved_percent(compressed: Column, size: Column) -> Column:
     return (1 - ratio(compressed, size)) * 100
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from granary.functions.codecs import LZMA_MEMORY, RESULT, _apply, _complete, lz4_decode, lz4_encode, zstd_decode
+from granary.functions import codecs
+from granary.functions.codecs import LZMA_MEMORY, MAX_DECODED, RESULT, _apply, _limits, bzip2_level, complete, lz4_decode, lz4_encode, lzma_filters, zstd_decode
 from granary.functions.header import read_le
 
 
@@ -36,26 +37,29 @@ def lz4_file(data: bytes, level: int) -> bytes:
 
 
 def gzip_name(data: bytes) -> str | None:
-    """The file name that a gzip header may hold."""
+    """The file name that a gzip header may hold; none in a header that is cut off."""
     if data[:2] != b"\x1f\x8b" or len(data) < 10 or not data[3] & 8:
         return None
     at = 10
     if data[3] & 4:
-        at += 2 + struct.unpack_from("<H", data, at)[0]
-    return data[at : data.find(b"\0", at)][:255].decode("latin-1")
+        if len(data) < 12:
+            return None
+        at += 2 + int.from_bytes(data[10:12], "little")
+    end = data.find(b"\0", at)
+    return data[at:end][:255].decode("latin-1") if end >= 0 else None
 
 
 ENCODERS = {
     "gzip": gzip_encode,
-    "bzip2": lambda x, n: bz2.compress(x, n if 1 <= n <= 9 else 9),
-    "xz": lambda x, n: lzma.compress(x, check=lzma.CHECK_CRC64, preset=6 if n < 0 else min(n, 9)),
+    "bzip2": lambda x, n: bz2.compress(x, bzip2_level(len(x), n)),
+    "xz": lambda x, n: lzma.compress(x, check=lzma.CHECK_CRC64, filters=lzma_filters(len(x), n, False)),
     "zstd": lambda x, n: zstandard.ZstdCompressor(level=3 if n < 0 else min(n, 22), write_checksum=True).compress(x),
     "lz4": lz4_file,
 }
 DECODERS = {
-    "gzip": lambda x: _complete(zlib.decompressobj(31), x),
-    "bzip2": lambda x: _complete(bz2.BZ2Decompressor(), x),
-    "xz": lambda x: _complete(lzma.LZMADecompressor(memlimit=LZMA_MEMORY), x),
+    "gzip": lambda x, most=MAX_DECODED: complete(zlib.decompressobj(31), x, most),
+    "bzip2": lambda x, most=MAX_DECODED: complete(bz2.BZ2Decompressor(), x, most),
+    "xz": lambda x, most=MAX_DECODED: complete(lzma.LZMADecompressor(memlimit=LZMA_MEMORY), x, most),
     "zstd": zstd_decode,
     "lz4": lz4_decode,
 }
@@ -67,8 +71,17 @@ def pack_udf(content: pd.Series, fmt: pd.Series, level: pd.Series) -> pd.DataFra
 
 
 @pandas_udf(RESULT)
-def unpack_udf(content: pd.Series, fmt: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_apply(DECODERS, f, x) for x, f in zip(content, fmt)], columns=RESULT.names)
+def unpack_udf(content: pd.Series, fmt: pd.Series, most: pd.Series = None) -> pd.DataFrame:
+    return pd.DataFrame([_apply(DECODERS, f, x, m) for x, f, m in zip(content, fmt, _limits(most))], columns=RESULT.names)
+
+
+#: Every decoder by one name: single-file formats by theirs, a container's codecs as container/<codec>.
+ANY = DECODERS | {f"container/{name}": decode for name, decode in codecs.DECODERS.items()}
+
+
+@pandas_udf(RESULT)
+def unpack_any_udf(content: pd.Series, kind: pd.Series, most: pd.Series = None) -> pd.DataFrame:
+    return pd.DataFrame([_apply(ANY, k, x, m) for x, k, m in zip(content, kind, _limits(most))], columns=RESULT.names)
 
 
 @pandas_udf(T.StringType())
@@ -82,8 +95,21 @@ def pack(content: Column, fmt: Column | str, level: Column | int = -1) -> Column
     return pack_udf(content.cast("binary"), lit(fmt), lit(level).cast("int"))
 
 
-def unpack(content: Column, fmt: Column | str) -> Column:
-    return unpack_udf(content, fmt if isinstance(fmt, Column) else F.lit(fmt))
+def unpack(content: Column, fmt: Column | str, most: Column | int = MAX_DECODED) -> Column:
+    """struct<data, error>: a truncated or damaged file gives an error, and so does one of more than `most` decoded bytes."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return unpack_udf(content, lit(fmt), lit(most).cast("long"))
+
+
+def effective_level(fmt: Column, level: Column) -> Column:
+    """The level that pack() uses."""
+    return (
+        F.when(fmt == "bzip2", F.when(level.between(1, 9), level).otherwise(9))
+        .when(fmt == "xz", F.when(level < 0, 6).otherwise(F.least(level, F.lit(9))))
+        .when(fmt == "zstd", F.when(level < 0, 3).otherwise(F.least(level, F.lit(22))))
+        .when(fmt == "lz4", F.greatest(level, F.lit(0)))
+        .when(fmt == "gzip", F.when(level.between(0, 9), level).otherwise(-1))
+    )
 
 
 def gzip_trailer(content: Column) -> Column:

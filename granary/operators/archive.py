@@ -6,17 +6,19 @@ row: a key has one for every VOLUME_BYTES of its entries, and a hash of their pa
 
 from __future__ import annotations
 
+import hashlib
 import io
 import stat
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import codecs, formats, standalone
+from granary.functions.batches import bounded_batches
 from granary.functions.dims import STANDALONE
 from granary.operators import policy
 
@@ -80,17 +82,18 @@ def _zip(level: int):
     return build
 
 
-def build(entries: DataFrame, key: str, name: str = "tar.zst", level: int = -1, volumes: int | None = None) -> DataFrame:
+def build(entries: DataFrame, key: str, name: str = "tar.zst", level: int = -1, volumes: int | None = None, order: str | None = None) -> DataFrame:
     """key, path, content -> key, volume, archive, error: an archive of each key (and volume) in the format `name`, like tar.gz or zip.
 
     Without `volumes` their number follows from the bytes of each key, so that what a task holds doesn't grow with the key; one entry is
     never split. A given number is taken as it is.
 
     Entries stand in path order and carry no times, so equal entries give equal bytes. A path that ends in / is a folder. Of
-    equal paths the last by content stays. Only the three columns are read; names that are no archive raise ValueError.
+    equal paths the last by the column `order` stays (an ordinal of sources, a time), without one that of the largest content hash; contents are shuffled once
+    for the fold, and twice only where `order` is given. Only these columns are read; names that are no archive raise ValueError.
     """
     spark = entries.sparkSession
-    codecs.small_blobs(spark)
+    bounded_batches(spark)
     # a one-row projection of constants: the format algebra is written as column expressions
     p = spark.range(1).select(formats.pipeline_of_name(F.lit(name)).alias("p")).select("p.*", formats.is_valid(F.col("p")).alias("valid")).first()
     if not p.valid or p.archive not in ("tar", "zip"):
@@ -98,70 +101,107 @@ def build(entries: DataFrame, key: str, name: str = "tar.zst", level: int = -1,
     make, type_ = (_zip(level) if p.archive == "zip" else _tar), entries.schema[key].dataType.simpleString()
 
     def fold(group, rows):
-        rows = rows.sort_values(["path"], kind="stable")
+        rows = rows.assign(rank=[hashlib.sha256(x or b"").digest() for x in rows["content"]]).sort_values(["path", "rank"], kind="stable").drop_duplicates("path", keep="last")
         return pd.DataFrame([(*group, make(rows))], columns=["key", "volume", "archive"])
 
+    if order is not None:
+        entries = last_written(entries, [key], F.col(order))
     rows = entries.select(F.col(key).alias("key"), "path", F.col("content").cast("binary").alias("content"))
     if volumes is None:
         many = volumes_of(rows).withColumnRenamed("key", "__key")
         rows = rows.join(F.broadcast(many), rows["key"].eqNullSafe(many["__key"]), "left").withColumn("volume", volume_of(F.col("path"), F.coalesce("volumes", F.lit(1)))).drop("__key", "volumes")
     else:
         rows = rows.withColumn("volume", volume_of(F.col("path"), volumes))
-    rows = last_written(rows, ["key"], F.col("content"))
     out = rows.groupBy("key", "volume").applyInPandas(fold, f"key {type_}, volume int, archive binary").withColumnRenamed("key", key)
     if p.codec == formats.UNKNOWN:
         return out.withColumn("error", F.lit(None).cast("string"))
     return out.withColumn("__r", standalone.pack(F.col("archive"), p.codec, level)).select(key, "volume", F.col("__r.data").alias("archive"), F.col("__r.error").alias("error"))
 
 
-def _tar_entries(raw: bytes, payload: bool) -> Iterator[tuple]:
-    with tarfile.open(fileobj=io.BytesIO(raw), mode="r:") as tar:
-        for k, m in enumerate(tar):
-            kind = "dir" if m.isdir() else "symlink" if m.issym() else "file" if m.isreg() or m.islnk() else "special"
-            content = tar.extractfile(m).read() if payload and m.isreg() else None
-            yield k, m.name, kind, m.size, pd.Timestamp(m.mtime, unit="s"), m.mode, m.linkname if m.issym() else None, content
+def _moment(make: Callable[[], pd.Timestamp]) -> pd.Timestamp | None:
+    """Archives hold times that are none, like month 0, or that no timestamp reaches: those are null."""
+    try:
+        return make()
+    except (ValueError, OverflowError):
+        return None
 
 
-def _zip_entries(raw: bytes, payload: bool) -> Iterator[tuple]:
+def _tar_entries(raw: bytes, payload: bool, most: int = codecs.MAX_DECODED, wanted: set[str] | None = None) -> Iterator[tuple]:
+    """wanted: only these paths are read. A hard link has the content of its target, if that comes before it."""
+    with tarfile.open(fileobj=io.BytesIO(raw), mode="r:") as tar:
+        for k, m in enumerate(tar):
+            if wanted is not None and m.name not in wanted:
+                continue
+            kind = "dir" if m.isdir() else "symlink" if m.issym() else "hardlink" if m.islnk() else "file" if m.isreg() else "special"
+            content, size = None, m.size
+            if m.islnk():
+                try:
+                    target = tar.extractfile(m)
+                    size = target.seek(0, io.SEEK_END)
+                    target.seek(0)
+                    content = codecs.read_all(target, most) if payload else None
+                except KeyError:
+                    kind = "special"  # a link to nothing
+            elif payload and m.isreg():
+                content = codecs.read_all(tar.extractfile(m), most)
+            yield k, m.name, kind, size, _moment(lambda: pd.Timestamp(m.mtime, unit="s")), m.mode, m.linkname if m.issym() or m.islnk() else None, content  # noqa: B023
+
+
+def _zip_entries(raw: bytes, payload: bool, most: int = codecs.MAX_DECODED, wanted: set[str] | None = None) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         for k, m in enumerate(z.infolist()):
-            folder = m.filename.endswith("/")
-            yield k, m.filename, "dir" if folder else "file", m.file_size, pd.Timestamp(*m.date_time), 0o755 if folder else 0o644, None, z.read(m) if payload and not folder else None
+            if wanted is not None and m.filename not in wanted:
+                continue
+            folder, content = m.filename.endswith("/"), None
+            if payload and not folder:
+                with z.open(m) as f:
+                    content = codecs.read_all(f, most)
+            yield k, m.filename, "dir" if folder else "file", m.file_size, _moment(lambda: pd.Timestamp(*m.date_time)), 0o755 if folder else 0o644, None, content  # noqa: B023
 
 
-def entries(archives: DataFrame, keep: list[str], content: str = "archive", path: Column | None = None, payload: bool = True) -> DataFrame:
+def entries(archives: DataFrame, keep: list[str], content: str = "archive", path: Column | None = None, payload: bool = True, most: int = codecs.MAX_DECODED) -> DataFrame:
     """The entries of each archive as rows: the columns `keep`, then ord, path, type, size, mtime, mode, link_target, content, error.
 
     An archive that can't be read gives one row with an error and no path. With payload=False contents stay packed and null.
+    An archive or entry that decodes to more than `most` bytes is an error row.
     """
-    codecs.small_blobs(archives.sparkSession, 8)
+    return _entries(archives, keep, content, path, payload, most)
+
+
+def _entries(archives: DataFrame, keep: list[str], content: str, path: Column | None, payload: bool, most: int, chosen: str | None = None) -> DataFrame:
+    """chosen: a column of paths (array<string>); only these entries are read."""
+    bounded_batches(archives.sparkSession)
     raw = F.col(content)
-    rows = archives.select(*keep, raw.alias("__raw"), formats.pipeline_of_blob(raw, F.lit("x.tar.x") if path is None else path).alias("__p"))
-    rows = rows.withColumn("__u", standalone.unpack(F.when(F.col("__p.codec").isin(*STANDALONE), F.col("__raw")), F.col("__p.codec")))
-    rows = rows.select(*keep, F.coalesce("__u.data", "__raw").alias("__raw"), F.col("__p.archive").alias("__archive"), F.col("__u.error").alias("__error"))
+    names = F.lit(None).cast("array<string>") if chosen is None else F.col(chosen)
+    rows = archives.select(*keep, names.alias("__chosen"), raw.alias("__raw"), formats.pipeline_of_blob(raw, F.lit("x.tar.x") if path is None else path).alias("__p"))
+    rows = rows.withColumn("__u", standalone.unpack(F.when(F.col("__p.codec").isin(*STANDALONE), F.col("__raw")), F.col("__p.codec"), most))
+    rows = rows.select(*keep, "__chosen", F.coalesce("__u.data", "__raw").alias("__raw"), F.col("__p.archive").alias("__archive"), F.col("__u.error").alias("__error"))
     columns = [*keep, *(x.split()[0] for x in ENTRY.split(", ")), "error"]
     size = 8 << 20
 
+    def frame_of(out):
+        frame = pd.DataFrame(out, columns=columns)
+        frame["mtime"] = pd.to_datetime(frame["mtime"])
+        return frame
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                own, (raw, archive, error) = tuple(row[: len(keep)]), row[len(keep) :]
+                own, (names, raw, archive, error) = tuple(row[: len(keep)]), row[len(keep) :]
                 out, held = [], 0
                 try:
                     if error is not None or raw is None or archive not in ("tar", "zip"):
                         raise ValueError(error or f"not a readable archive: {archive}")
-                    for e in (_tar_entries if archive == "tar" else _zip_entries)(raw, payload):
+                    for e in (_tar_entries if archive == "tar" else _zip_entries)(raw, payload, most, None if names is None else set(names)):
                         out.append((*own, *e, None))
                         held += len(e[-1] or b"") + 200
                         if held > size:
-                            yield pd.DataFrame(out, columns=columns)
+                            yield frame_of(out)
                             out, held = [], 0
                 except Exception as e:  # noqa: BLE001 - a damaged archive is a row
                     out.append((*own, *[None] * 8, f"{type(e).__name__}: {e}"))
                 if out:
-                    frame = pd.DataFrame(out, columns=columns)
-                    frame["mtime"] = pd.to_datetime(frame["mtime"])
-                    yield frame
+                    yield frame_of(out)
 
     kept = ", ".join(f"`{c}` {archives.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInPandas(read, f"{kept}, {ENTRY}, error string")
@@ -170,12 +210,21 @@ def entries(archives: DataFrame, keep: list[str], content: str = "archive", path
 def extract(archives: DataFrame, keep: list[str], wanted: DataFrame | None = None, content: str = "archive", path: Column | None = None, **allow) -> DataFrame:
     """Entries that may be written, and refused ones with their reason in `error` and no content.
 
-    wanted: a table with a column path; only entries of these names are taken. Refused entries hold up none of the others.
+    wanted: a table with a column path; only entries of these names are taken. The archives are listed first, without contents, and the names are told
+    to the reader of each archive, so unwanted contents are neither unpacked from a zip nor leave the reader. `keep` must then tell archives
+    apart. Refused entries hold up none of the others.
     """
-    rows = entries(archives, keep, content, path)
+    if wanted is None:
+        rows = entries(archives, keep, content, path)
+    else:
+        listed = entries(archives, keep, content, path, payload=False)
+        names = listed.join(wanted.select("path").distinct(), "path", "left_semi").groupBy(*keep).agg(F.collect_set("path").alias("__names"))
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"n.{c}")) for c in keep]
+        chosen = archives.alias("a").join(names.alias("n"), same).select("a.*", "__names")
+        rows = _entries(chosen, keep, content, path, True, codecs.MAX_DECODED, "__names")
     refused = policy.violation(F.col("path"), F.col("type"), **allow)
     rows = rows.withColumn("error", F.coalesce("error", refused)).withColumn("content", F.when(F.col("error").isNull(), F.col("content")))
-    return rows if wanted is None else rows.join(wanted.select("path").distinct(), "path", "left_semi")
+    return rows
 
 
 def missing(wanted: DataFrame, listed: DataFrame) -> DataFrame:
@@ -185,6 +234,6 @@ def missing(wanted: DataFrame, listed: DataFrame) -> DataFrame:
 
 def convert(archives: DataFrame, key: str, name: str, level: int = -1, content: str = "archive") -> DataFrame:
     """The same entries in another archive format, in volumes as build() makes them."""
-    rows = entries(archives, [key], content).filter("error IS NULL AND type IN ('file', 'dir')")
+    rows = entries(archives, [key], content).filter("error IS NULL AND type IN ('file', 'hardlink', 'dir')")
     rows = rows.withColumn("path", F.when((F.col("type") == "dir") & ~F.col("path").endswith("/"), F.concat("path", F.lit("/"))).otherwise(F.col("path")))
     return build(rows.select(key, "path", "content"), key, name, level)

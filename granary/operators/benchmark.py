@@ -11,10 +11,13 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from granary.functions import codecs
+from granary.functions.batches import bounded_batches
 from granary.functions.dims import CODECS, COMPRESS_MB_S, DECOMPRESS_MB_S, OTHER_MB_S, PRIORITY, lookup
 from granary.functions.report import mb_per_s, ratio
 
 LEVELS = (None, 1, 3, 6, 9)
+#: Configurations times repeats that run() takes.
+MOST_TRIES = 2_000
 SPEEDS = "algo string, comp_mb_s double, decomp_mb_s double, samples long"
 _TIMED = T.StructType([T.StructField("compress_time", T.DoubleType()), T.StructField("decompress_time", T.DoubleType()), T.StructField("compressed_size", T.LongType()), T.StructField("same", T.BooleanType())])
 
@@ -30,28 +33,38 @@ def _timed(content: pd.Series, algo: pd.Series, level: pd.Series) -> pd.DataFram
     out = []
     for x, a, n in zip(content, algo, level):
         begun = time.perf_counter()
-        packed = codecs.ENCODERS[a](x, -1 if pd.isna(n) else int(n))
+        packed, error = codecs.attempt(lambda: codecs.ENCODERS[a](x, -1 if pd.isna(n) else int(n)))  # noqa: B023
         middle = time.perf_counter()
-        raw = codecs.DECODERS[a](packed)
-        out.append((middle - begun, time.perf_counter() - middle, len(packed), raw == x))
+        raw, error = (None, error) if error else codecs.attempt(lambda: codecs.DECODERS[a](packed, len(x)))  # noqa: B023
+        out.append((middle - begun, time.perf_counter() - middle, len(packed or b""), raw == x))
     return pd.DataFrame(out, columns=_TIMED.names)
 
 
 def run(blobs: DataFrame, configurations: DataFrame, repeats: int = 1) -> DataFrame:
     """content -> algo, strategy, level, compress_time, decompress_time, input_size, compressed_size, same: sums over the blobs of mean times over repeats.
 
-    Configurations are broadcast (a grid is at most a few hundred rows), so that each blob is timed where it lies.
+    A configuration that a codec can't run has same = false. Configurations are broadcast, so that each blob is timed where it lies; more than MOST_TRIES
+    of them raise ValueError. varying_sizes counts the blobs whose packed size differed between repeats, whose last size counts.
     """
-    codecs.small_blobs(blobs.sparkSession)
+    if configurations.count() * repeats > MOST_TRIES:
+        raise ValueError(f"more than {MOST_TRIES} timings of each blob")
+    bounded_batches(blobs.sparkSession)
     some = blobs.select(F.col("content").cast("binary").alias("content")).filter(F.octet_length("content") > 0)
-    tries = configurations.withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    rows = some.join(F.broadcast(tries)).withColumn("t", _timed("content", "algo", "level"))
-    return rows.groupBy("algo", "strategy", "level").agg(
-        (F.sum("t.compress_time") / repeats).alias("compress_time"),
-        (F.sum("t.decompress_time") / repeats).alias("decompress_time"),
-        F.floor(F.sum(F.octet_length("content")) / repeats).alias("input_size"),
-        F.floor(F.sum("t.compressed_size") / repeats).alias("compressed_size"),
-        F.bool_and("t.same").alias("same"),
+    tries = configurations.withColumn("tries", F.sequence(F.lit(1), F.lit(repeats)))
+    timed = F.transform("tries", lambda _: F.struct("content", "algo", "level"))  # repeats of a blob stand side by side
+    rows = some.select(F.monotonically_increasing_id().alias("blob"), "content").join(F.broadcast(tries)).select("blob", "algo", "strategy", "level", F.posexplode(timed).alias("try", "c"))
+    rows = rows.withColumn("t", _timed("c.content", "c.algo", "c.level")).withColumn("n", F.octet_length("c.content")).drop("c")
+    sizes = rows.groupBy("algo", "strategy", "level", "blob").agg(
+        F.sum("t.compress_time").alias("compress_time"), F.sum("t.decompress_time").alias("decompress_time"), F.first("n").alias("n"),
+        F.max_by("t.compressed_size", "try").alias("size"), F.count_distinct("t.compressed_size").alias("sizes"), F.bool_and("t.same").alias("same"),
+    )
+    return sizes.groupBy("algo", "strategy", "level").agg(
+        (F.sum("compress_time") / repeats).alias("compress_time"),
+        (F.sum("decompress_time") / repeats).alias("decompress_time"),
+        F.sum("n").alias("input_size"),
+        F.sum("size").alias("compressed_size"),
+        F.bool_and("same").alias("same"),
+        F.count_if(F.col("sizes") > 1).alias("varying_sizes"),
     )
 
 

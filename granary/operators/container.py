@@ -1,6 +1,7 @@
 """Packing tables of blobs into containers and getting any known format back.
 
-Blobs are rows (path, content). Nothing here shuffles: every row is packed or unpacked where it is read.
+Blobs are rows (path, content). Nothing here shuffles: every row is packed or unpacked where it is read, by one UDF that dispatches on
+the row's format. codecs.spread() deals a table of few splits over tasks first, where that pays.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import codecs, formats, standalone
+from granary.functions.batches import bounded_batches
 from granary.functions import header as H
 from granary.functions.dims import CODECS, STANDALONE
 
@@ -25,44 +27,56 @@ def request_error(codec: Column, level: Column, size: Column) -> Column:
     )
 
 
+def error_class(error: Column) -> Column:
+    """header, backend, value or io, by what an error text begins with; null without an error."""
+    known = F.create_map(*(F.lit(x) for pair in (("HeaderError", "header"), ("BackendError", "backend"), ("OSError", "io"), ("FileExistsError", "io"), ("EOFError", "io")) for x in pair))
+    return F.when(error.isNotNull(), F.coalesce(F.try_element_at(known, F.regexp_extract(error, "^([A-Za-z_.]+):", 1)), F.lit("value")))
+
+
 def pack(blobs: DataFrame, codec: Column, level: Column | None = None, content: str = "content", out: str = "packed") -> DataFrame:
-    """blobs with `out` (header and payload, null on failure) and `error`. Null content stays null without an error."""
-    codecs.small_blobs(blobs.sparkSession)
+    """blobs with `out` (header and payload, null on failure), `error` and `error_class`. Null content stays null without an error."""
+    bounded_batches(blobs.sparkSession)
     level = F.lit(-1) if level is None else level
     raw = F.col(content).cast("binary")
     rows = blobs.withColumn("__error", F.when(raw.isNotNull(), request_error(codec, level, F.octet_length(raw))))
     rows = rows.withColumn("__r", codecs.compress(F.when(F.col("__error").isNull(), raw), codec, level))
     head = H.header(codec, level, F.octet_length(raw))
     rows = rows.withColumns({out: F.when(F.col("__r.data").isNotNull(), F.concat(head, F.col("__r.data"))), "error": F.coalesce("__error", "__r.error")})
-    return rows.drop("__r", "__error")
+    return rows.withColumn("error_class", error_class(F.col("error"))).drop("__r", "__error")
 
 
-def unpack(blobs: DataFrame, path: Column | None = None, content: str = "content", out: str = "data", codec: Column | None = None, lenient: bool = False) -> DataFrame:
-    """blobs with `format`, `out` (null on failure) and `error`, whatever known format each row has.
+def unpack(blobs: DataFrame, path: Column | None = None, content: str = "content", out: str = "data", codec: Column | None = None, lenient: bool = False, most: int = codecs.MAX_DECODED) -> DataFrame:
+    """blobs with `format`, `out` (null on failure), `error` and `error_class`, whatever known format each row has.
 
     The format is told by the bytes, then by the path. An archive is no single file, so it is an error here. `codec` overrides
-    what a container's header names. Unless lenient, a container whose payload doesn't have the header's size is an error.
+    what a container's header names. Unless lenient, a container whose payload doesn't have the header's size is an error; decoding
+    stops at that size, and anywhere at `most` bytes.
     """
-    codecs.small_blobs(blobs.sparkSession)
+    bounded_batches(blobs.sparkSession)
     raw = F.col(content)
-    rows = blobs.withColumn("format", formats.of_blob(raw, F.lit("") if path is None else path)).withColumn("__h", H.inspect(raw))
+    rows = blobs.withColumn("format", formats.of_blob(raw, F.lit("") if path is None else path))
+    # plain columns instead of a struct, which the optimizer would take apart and repeat at each use
+    head = H.inspect(raw)
+    rows = rows.withColumns({"__ok": head["header_ok"], "__reason": head["reason"], "__size": head["orig_size"], "__name": head["algo_name"]})
     boxed, single = F.col("format") == "container", F.col("format").isin(*STANDALONE)
-    named = F.col("__h.algo_name") if codec is None else F.coalesce(codec, F.col("__h.algo_name"))
+    named = F.col("__name") if codec is None else F.coalesce(codec, F.col("__name"))
     error = (
-        F.when(boxed & ~F.col("__h.header_ok"), F.concat(F.lit("HeaderError: "), F.col("__h.reason")))
-        .when(boxed & (F.col("__h.orig_size") == 0), "HeaderError: original size is 0")
-        .when(boxed & named.isNull(), F.concat(F.lit("BackendError: "), F.col("__h.reason")))
+        F.when(boxed & ~F.col("__ok"), F.concat(F.lit("HeaderError: "), F.col("__reason")))
+        .when(boxed & (F.col("__size") == 0), "HeaderError: original size is 0")
+        .when(boxed & named.isNull(), F.concat(F.lit("BackendError: "), F.col("__reason")))
         .when(formats.is_archive(F.col("format")), F.concat(F.lit("ValueError: archive, extract it: "), F.col("format")))
         .when(~boxed & ~single, "ValueError: unknown format")
     )
     rows = rows.withColumn("__error", F.when(raw.isNotNull(), error))
     good = F.col("__error").isNull()
     payload = F.expr(f"substring(`{content}`, {H.SIZE + 1})")
-    rows = rows.withColumn("__c", codecs.decompress(F.when(good & boxed, payload), named)).withColumn("__s", standalone.unpack(F.when(good & single, raw), F.col("format")))
-    data = F.coalesce("__c.data", "__s.data")
-    wrong = F.lit(False) if lenient else F.coalesce(boxed & (F.octet_length("__c.data") != F.col("__h.orig_size")), F.lit(False))
-    failed = F.coalesce("__error", "__c.error", "__s.error", F.when(wrong, "HeaderError: size mismatch"))
-    return rows.withColumns({out: F.when(~wrong, data), "error": failed}).drop("__h", "__error", "__c", "__s")
+    kind = F.when(boxed, F.concat(F.lit("container/"), named)).otherwise(F.col("format"))
+    claimed = F.lit(False) if lenient else boxed & (F.col("__size") <= most)
+    limit = F.when(claimed, F.col("__size")).otherwise(F.lit(most))
+    rows = rows.withColumn("__r", standalone.unpack_any_udf(F.when(good, F.when(boxed, payload).otherwise(raw)), kind, limit.cast("long")))
+    wrong = F.coalesce(claimed & ((F.octet_length("__r.data") != F.col("__size")) | F.col("__r.error").startswith("ValueError: decodes to more")), F.lit(False))
+    failed = F.coalesce("__error", F.when(wrong, "HeaderError: size mismatch"), "__r.error")
+    return rows.withColumns({out: F.when(~wrong, F.col("__r.data")), "error": failed}).withColumn("error_class", error_class(F.col("error"))).drop("__ok", "__reason", "__size", "__name", "__error", "__r")
 
 
 def inspect(blobs: DataFrame, content: str = "content") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import codecs, dims, formats, report, standalone
+from granary.functions.batches import bounded_batches
 from granary.functions import header as H
 from granary.operators import archive, benchmark, container, policy
 from granary.plans import jobs
@@ -35,6 +36,11 @@ def _docs(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return raw.withColumn("content", F.encode("text", "UTF-8")).drop("text")
 
 
+def _spread(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The documents as blobs, dealt over all cores before a slow codec."""
+    return codecs.spread(_docs(spark, sf, *columns))
+
+
 def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -57,8 +63,8 @@ def _recovered(rows: DataFrame, data: str) -> DataFrame:
 
 def _codec_roundtrip(codec: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        codecs.small_blobs(spark)
-        packed = _docs(spark, sf).withColumn("p", codecs.compress(F.col("content"), codec))
+        bounded_batches(spark)
+        packed = _spread(spark, sf).withColumn("p", codecs.compress(F.col("content"), codec))
         return _recovered(packed.withColumn("r", codecs.decompress(F.col("p.data"), codec)), "r.data")
 
     return run
@@ -66,8 +72,8 @@ def _codec_roundtrip(codec: str):
 
 def _file_roundtrip(fmt: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        codecs.small_blobs(spark)
-        packed = _docs(spark, sf).withColumn("p", standalone.pack(F.col("content"), fmt))
+        bounded_batches(spark)
+        packed = _spread(spark, sf).withColumn("p", standalone.pack(F.col("content"), fmt))
         return _recovered(packed.withColumn("r", standalone.unpack(F.col("p.data"), fmt)), "r.data")
 
     return run
@@ -110,8 +116,8 @@ def container_inspect(spark, sf):
 
 
 @query("""
-SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'File too small to be a valid container' WHEN 1 THEN 'Invalid magic number' WHEN 2 THEN 'Unsupported header version: 9'
-    WHEN 3 THEN 'Original size 18446744073709551615 exceeds maximum limit 9223372036854775807' WHEN 4 THEN 'No available backend for this algorithm' END AS reason,
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'shorter than the 16 bytes of a header' WHEN 1 THEN 'magic bytes of no container' WHEN 2 THEN 'version 9 not known'
+    WHEN 3 THEN 'claims 18446744073709551615 bytes, more than 9223372036854775807' WHEN 4 THEN 'names no codec' END AS reason,
   doc_id % 6 IN (3, 4, 5) AS is_container, doc_id % 6 IN (4, 5) AS header_ok, doc_id % 6 = 5 AS can_decompress FROM documents""")
 def container_bad_headers(spark, sf):
     """Damaged headers: each fault has its own reason."""
@@ -138,17 +144,19 @@ def container_roundtrip(spark, sf):
     hurt = hurt.when(k == 2, F.concat(part(1, 5), F.lit(bytearray(b"\x63")), F.expr("substring(packed, 7)"))).when(k == 3, F.substring(F.col("packed"), F.lit(1), whole - 3)).otherwise(F.col("packed"))
     # a header of an unknown version isn't a container any more for inspect, but its magic still routes it here
     rows = container.unpack(packed.select("doc_id", hurt.alias("content")))
-    kind = F.when(F.col("error").isNull(), None).when(F.col("error").startswith("HeaderError: Unsupported"), "HeaderError").when(F.col("error").startswith("BackendError"), "BackendError").otherwise("failed")
+    kind = F.when(F.col("error").isNull(), None).when(F.col("error").startswith("HeaderError: version"), "HeaderError").when(F.col("error").startswith("BackendError"), "BackendError").otherwise("failed")
     return rows.select("doc_id", F.md5("data").alias("digest"), kind.alias("failure"))
 
 
 @query("SELECT doc_id, md5(text) AS digest, ['gzip', 'bzip2', 'xz', 'zstd', 'lz4', 'container'][doc_id % 6 + 1] AS format FROM documents")
 def decompress_any(spark, sf):
     """One table of six kinds of files, each told by its bytes and decoded."""
-    codecs.small_blobs(spark)
-    kind = _nth(dims.STANDALONE, F.least(F.col("doc_id") % 6, F.lit(4)))
-    rows = container.pack(_docs(spark, sf), F.lit("zlib")).withColumn("s", standalone.pack(F.col("content"), kind))
-    rows = rows.select("doc_id", F.when(F.col("doc_id") % 6 == 5, F.col("packed")).otherwise(F.col("s.data")).alias("content"))
+    bounded_batches(spark)
+    boxed, kind = F.col("doc_id") % 6 == 5, _nth(dims.STANDALONE, F.least(F.col("doc_id") % 6, F.lit(4)))
+    rows = _spread(spark, sf).withColumn("n", F.octet_length("content"))
+    # a container's payload of zlib is made beside the single files, each row packed once
+    rows = rows.withColumn("c", codecs.compress(F.when(boxed, F.col("content")), "zlib")).withColumn("s", standalone.pack(F.when(~boxed, F.col("content")), kind))
+    rows = rows.select("doc_id", F.when(boxed, F.concat(H.header(F.lit("zlib"), F.lit(-1), F.col("n")), F.col("c.data"))).otherwise(F.col("s.data")).alias("content"))
     return container.unpack(rows).select("doc_id", F.md5("data").alias("digest"), "format")
 
 
@@ -158,9 +166,16 @@ _MAGIC_FORMATS = ["gzip", "bzip2", "container", "xz", "zstd", "lz4", "zip", "7z"
 
 @query(f"SELECT doc_id, ({_MAGIC_FORMATS})[doc_id % 10 + 1] AS format, ({_MAGIC_FORMATS})[doc_id % 10 + 1] IN ('zip', '7z') AS is_archive, CASE WHEN ({_MAGIC_FORMATS})[doc_id % 10 + 1] IN ('zip', '7z') THEN 'archive' ELSE 'single' END AS mode FROM documents")
 def detect_magic(spark, sf):
-    content = F.element_at(F.array(*(F.lit(bytearray(m)) for m in _MAGICS)), (F.col("doc_id") % 10 + 1).cast("int"))
-    fmt = formats.of_magic(content)
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", fmt.alias("format"), formats.is_archive(fmt).alias("is_archive"), formats.operation_mode(fmt).alias("mode"))
+    """Documents packed into gzip, bzip2, xz, zstd, lz4 and containers, told by their bytes; of zip, 7z and of no format only the first bytes."""
+    bounded_batches(spark)
+    k = F.col("doc_id") % 10
+    single = F.element_at(F.create_map(*(F.lit(x) for i, f in enumerate(_MAGIC_FORMATS[:6]) if f != "container" for x in (i, f))), k.cast("int"))
+    marks = F.element_at(F.array(*(F.lit(bytearray(m)) for m in _MAGICS)), (k + 1).cast("int"))
+    rows = _docs(spark, sf).withColumn("p", standalone.pack(F.when(single.isNotNull(), F.col("content")), single)["data"])
+    boxed = F.concat(H.header(F.lit("zstd"), F.lit(3), F.octet_length("content")), F.col("content"))
+    rows = rows.withColumn("blob", F.when(single.isNotNull(), F.col("p")).when(k == 2, boxed).otherwise(marks))
+    fmt = formats.of_magic(F.col("blob"))
+    return rows.select("doc_id", fmt.alias("format"), formats.is_archive(fmt).alias("is_archive"), formats.operation_mode(fmt).alias("mode"))
 
 
 _PATHS = [
@@ -222,11 +237,11 @@ def level_clamp(spark, sf):
 
 @query("""
 SELECT doc_id, algo, (CASE algo WHEN 'zlib' THEN n + n // 4096 + n // 16384 + n // 33554432 + 13 WHEN 'bzip2' THEN n + n // 100 + 600 WHEN 'lzma' THEN n + n // 3 + 131072
-  WHEN 'zstd' THEN n + n // 256 + CASE WHEN n < 131072 THEN (131072 - n) // 2048 ELSE 0 END WHEN 'snappy' THEN 32 + n + n // 6 END)::BIGINT AS bound
-FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents), (VALUES ('zlib'), ('bzip2'), ('lzma'), ('zstd'), ('snappy')) AS t(algo)""")
+  WHEN 'zstd' THEN n + n // 256 + CASE WHEN n < 131072 THEN (131072 - n) // 2048 ELSE 0 END WHEN 'lz4' THEN n + n // 255 + 19 + 4 * ((n + 65535) // 65536) WHEN 'snappy' THEN 32 + n + n // 6 END)::BIGINT AS bound
+FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents), (VALUES ('zlib'), ('bzip2'), ('lzma'), ('zstd'), ('lz4'), ('snappy')) AS t(algo)""")
 def size_bounds(spark, sf):
-    """The most that a codec can make of each document; lz4's bound depends on its library and is left out."""
-    algos = _values(spark, [(a,) for a in _ALGO if a != "lz4"], "algo string")
+    """The most that a codec can make of each document."""
+    algos = _values(spark, [(a,) for a in _ALGO], "algo string")
     return _docs(spark, sf).join(F.broadcast(algos)).select("doc_id", "algo", codecs.max_compressed_size(F.col("algo"), F.octet_length("content")).alias("bound"))
 
 
@@ -244,7 +259,7 @@ def plan_compression(spark, sf):
 @query("SELECT lang, source, count(*) AS n, sum(octet_length(encode(text)))::BIGINT AS bytes, bool_and(doc_id % 4 <> 3) AS all_ok, count(*) FILTER (doc_id % 4 <> 3) AS n_same FROM documents GROUP BY lang, source")
 def run_compression(spark, sf):
     """Plan, run, undo, and report by language and source; a job that can't run is a row, not an exception."""
-    rows = _docs(spark, sf, "lang", "source").withColumn("path", F.col("doc_id").cast("string"))
+    rows = _spread(spark, sf, "lang", "source").withColumn("path", F.col("doc_id").cast("string"))
     done = jobs.run_compression(jobs.plan_compression(rows, F.when(F.col("doc_id") % 4 == 3, "zipp"), _nth(["fast", "max_ratio", "balanced", "balanced"], F.col("doc_id") % 4)))
     back = jobs.run_decompression(done.select("lang", "source", "dest", "input_size", "ok", F.md5("content").alias("was"), F.col("packed").alias("content")), "dest").withColumn("same", F.md5("data") == F.col("was"))
     first_ok = F.col("was").isNotNull() & F.col("data").isNotNull()
@@ -303,12 +318,14 @@ def bench_grid(spark, sf):
     return benchmark.grid(spark).withColumn("level", F.coalesce(F.col("level").cast("string"), F.lit("auto")))
 
 
-@query("SELECT a.algo, 'balanced' AS strategy, n.level, (SELECT sum(octet_length(encode(text)))::BIGINT FROM benchmark) AS input_size, true AS same, true AS timed FROM (VALUES ('zlib'), ('zstd'), ('lz4')) AS a(algo), (VALUES ('auto'), ('1')) AS n(level)")
+@query("""
+SELECT a.algo, s.strategy, n.level, (SELECT sum(octet_length(encode(text)))::BIGINT FROM benchmark) AS input_size, true AS same, true AS timed, 0::BIGINT AS varying_sizes
+FROM (VALUES ('zlib'), ('bzip2'), ('lzma'), ('zstd'), ('lz4'), ('snappy')) AS a(algo), (VALUES ('balanced'), ('fast'), ('max_ratio')) AS s(strategy), (VALUES ('auto'), ('1'), ('3'), ('6'), ('9')) AS n(level)""")
 def bench_run(spark, sf):
-    """A timed grid over the benchmark table's texts; timings differ from run to run, so only that there are some is returned."""
+    """The whole grid, timed over the benchmark table's texts; timings differ from run to run, so only that there are some is returned."""
     blobs = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.encode("text", "UTF-8").alias("content"))
-    rows = benchmark.run(blobs, benchmark.grid(spark, ("zlib", "zstd", "lz4"), ("balanced",), (None, 1)), repeats=2)
-    return rows.select("algo", "strategy", F.coalesce(F.col("level").cast("string"), F.lit("auto")).alias("level"), "input_size", "same", ((F.col("compress_time") > 0) & (F.col("decompress_time") > 0)).alias("timed"))
+    rows = benchmark.run(codecs.spread(blobs), benchmark.grid(spark), repeats=2)
+    return rows.select("algo", "strategy", F.coalesce(F.col("level").cast("string"), F.lit("auto")).alias("level"), "input_size", "same", ((F.col("compress_time") > 0) & (F.col("decompress_time") > 0)).alias("timed"), "varying_sizes")
 
 
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
@@ -387,7 +404,7 @@ WITH d AS (SELECT doc_id, 16 * octet_length(encode(text)) AS n FROM documents)
 SELECT doc_id, k::INT AS block, least(65536, n - 65536 * k)::BIGINT AS raw_length FROM d, generate_series(0, 100) AS g(k) WHERE 65536 * k < n""")
 def snappy_blocks(spark, sf):
     """The blocks of framed snappy, walked by their own length fields. Each blob is a document 16 times over."""
-    codecs.small_blobs(spark)
+    bounded_batches(spark)
     blobs = _docs(spark, sf).select("doc_id", F.repeat(F.decode("content", "UTF-8"), F.lit(16)).cast("binary").alias("content"))
     packed = blobs.select("doc_id", F.octet_length("content").alias("n"), codecs.compress(F.col("content"), "snappy")["data"].alias("p")).filter("n > 0")
     blocks = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / codecs.BLOCK).cast("int"))
@@ -399,22 +416,92 @@ def snappy_blocks(spark, sf):
 @query("SELECT doc_id, (octet_length(encode(text)) % 4294967296)::BIGINT AS size, true AS crc_matches FROM documents")
 def gzip_trailer(spark, sf):
     """Size and checksum from the last eight bytes of gzip files, without unpacking them."""
-    codecs.small_blobs(spark)
+    bounded_batches(spark)
     rows = _docs(spark, sf).withColumn("p", standalone.pack(F.col("content"), "gzip")).withColumn("t", standalone.gzip_trailer(F.col("p.data")))
     return rows.select("doc_id", F.col("t.size").alias("size"), (F.col("t.crc32") == F.crc32("content")).alias("crc_matches"))
 
 
-@query("SELECT doc_id, ['gzip', 'bzip2', 'xz', 'zstd', 'lz4'][doc_id % 5 + 1] AS format, true AS found FROM documents WHERE octet_length(encode(text)) >= 1000")
+@query("SELECT doc_id, ['gzip', 'bzip2', 'xz', 'zstd', 'lz4'][doc_id % 5 + 1] AS format, true AS found FROM documents")
 def corruption_detected(spark, sf):
-    """A flipped byte in the middle of a file is noticed by each format's own checks."""
-    codecs.small_blobs(spark)
-    rows = _docs(spark, sf).filter(F.octet_length("content") >= 1000).withColumn("format", _nth(dims.STANDALONE, F.col("doc_id") % 5))
+    """A flipped byte is an error of each format's own checks: in the middle of a file, or in the checksum that ends a short one."""
+    bounded_batches(spark)
+    rows = _docs(spark, sf).withColumn("format", _nth(dims.STANDALONE, F.col("doc_id") % 5))
     rows = rows.withColumn("p", standalone.pack(F.col("content"), F.col("format"))["data"])
-    middle = F.floor(F.octet_length("p") / 2).cast("int")
-    flipped = F.unhex(F.lpad(F.hex(F.conv(F.hex(F.col("p").substr(middle, F.lit(1))), 16, 10).cast("int").bitwiseXOR(F.lit(255)).cast("long")), 2, "0"))
-    bad = F.concat(F.col("p").substr(F.lit(1), middle - 1), flipped, F.col("p").substr(middle + 1, F.octet_length("p")))
+    size = F.octet_length("p")
+    at = F.when(size >= 200, F.floor(size / 2)).otherwise(size - 2).cast("int")
+    flipped = F.unhex(F.lpad(F.hex(F.conv(F.hex(F.col("p").substr(at, F.lit(1))), 16, 10).cast("int").bitwiseXOR(F.lit(255)).cast("long")), 2, "0"))
+    bad = F.concat(F.col("p").substr(F.lit(1), at - 1), flipped, F.col("p").substr(at + 1, size))
     rows = rows.withColumn("r", standalone.unpack(bad, F.col("format")))
-    return rows.select("doc_id", "format", (F.col("r.error").isNotNull() | (F.md5("r.data") != F.md5("content"))).alias("found"))
+    return rows.select("doc_id", "format", (F.col("r.error").isNotNull() & F.col("r.data").isNull()).alias("found"))
+
+
+@query("""
+SELECT doc_id, ['container', 'container', 'container', 'gzip', 'unknown', 'container'][doc_id % 6 + 1] AS format, CASE WHEN doc_id % 6 = 5 THEN md5(text) END AS digest,
+  ['value', 'header', 'backend', 'value', 'value', NULL][doc_id % 6 + 1] AS error_class FROM documents""")
+def damaged_blobs(spark, sf):
+    """Cut, mislabelled and foreign blobs beside whole ones: each row has its own error, and none fails the job."""
+    k = F.col("doc_id") % 6
+    packed = container.pack(_docs(spark, sf), F.lit("zlib")).withColumn("g", standalone.pack(F.col("content"), "gzip")["data"])
+    part = lambda a, b, c: F.concat(F.substring("packed", 1, a), F.lit(bytearray(b)), F.expr(f"substring(packed, {c})"))
+    hurt = F.when(k == 0, F.substring(F.col("packed"), F.lit(1), F.octet_length("packed") - 3)).when(k == 1, part(4, b"\x07", 6)).when(k == 2, part(5, b"\x63", 7))
+    hurt = hurt.when(k == 3, F.substring("g", 1, 9)).when(k == 4, F.concat(F.lit(bytearray(b"..")), F.col("content"))).otherwise(F.col("packed"))
+    rows = container.unpack(packed.select("doc_id", hurt.alias("content")))
+    return rows.select("doc_id", "format", F.md5("data").alias("digest"), "error_class")
+
+
+@query("SELECT doc_id, ['gzip', 'bzip2', 'xz', 'zstd', 'lz4', 'zlib', 'bzip2', 'lzma', 'zstd', 'lz4', 'snappy'][doc_id % 11 + 1] AS kind, octet_length(encode(text)) > 1000 AS refused, CASE WHEN octet_length(encode(text)) <= 1000 THEN md5(text) END AS digest FROM documents")
+def decode_limits(spark, sf):
+    """No format decodes to more bytes than it is allowed to."""
+    bounded_batches(spark)
+    k, boxed = F.col("doc_id") % 11, F.col("doc_id") % 11 >= 5
+    rows = _docs(spark, sf).withColumn("kind", _nth([*dims.STANDALONE, *dims.CODECS], k))
+    rows = rows.withColumn("c", codecs.compress(F.when(boxed, F.col("content")), F.col("kind"))).withColumn("s", standalone.pack(F.when(~boxed, F.col("content")), F.col("kind")))
+    rows = rows.withColumn("c", codecs.decompress("c.data", F.col("kind"), 1000)).withColumn("s", standalone.unpack("s.data", F.col("kind"), 1000))
+    refused = F.coalesce("c.error", "s.error").startswith("ValueError: decodes to more")
+    return rows.select("doc_id", "kind", F.coalesce(refused, F.lit(False)).alias("refused"), F.md5(F.coalesce("c.data", "s.data")).alias("digest"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'd' || doc_id || '.txt' END AS name FROM documents")
+def gzip_names(spark, sf):
+    """The names in gzip headers, after an extra field or not; a header that is cut inside its name has none."""
+    bounded_batches(spark)
+    k, raw = F.col("doc_id") % 3, lambda b: F.lit(bytearray(b))
+    name = F.concat(F.lit("d"), "doc_id", F.lit(".txt")).cast("binary")
+    fixed = bytes(4) + b"\x00\x03"
+    blob = F.when(k == 0, F.concat(raw(b"\x1f\x8b\x08\x08" + fixed), name)).when(k == 1, F.concat(raw(b"\x1f\x8b\x08\x08" + fixed), name, raw(b"\0rest")))
+    blob = blob.otherwise(F.concat(raw(b"\x1f\x8b\x08\x0c" + fixed + b"\x02\x00xx"), name, raw(b"\0rest")))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", standalone.original_name(blob).alias("name"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, i - c AS saved_bytes FROM (SELECT l_orderkey, l_linenumber, floor(l_extendedprice)::BIGINT AS i, floor(l_quantity)::BIGINT AS c FROM lineitem)""")
+def saved_bytes(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return rows.select("l_orderkey", "l_linenumber", report.saved_bytes(F.floor("l_quantity"), F.floor("l_extendedprice")).alias("saved_bytes"))
+
+
+@query("SELECT source, count(*) AS entry_count, sum(octet_length(encode(text)))::BIGINT AS total_input_size, false AS can_run, true AS has_reason FROM documents GROUP BY source")
+def archive_plan_refused(spark, sf):
+    """A single-file format holds no archive."""
+    return jobs.plan_archive(_entries(spark, sf), "source", "gzip").select("source", "entry_count", "total_input_size", "can_run", F.col("reason").isNotNull().alias("has_reason"))
+
+
+@query("SELECT doc_id, 0::BIGINT AS n_entries, 0::BIGINT AS total_size, false AS can_run FROM documents")
+def archive_plan_unreadable(spark, sf):
+    """Documents taken for archives: each is a row with a reason."""
+    plan = jobs.plan_extraction(_docs(spark, sf).withColumnRenamed("content", "archive"), "doc_id")
+    return plan.filter("reason IS NOT NULL").select("doc_id", "n_entries", "total_size", "can_run")
+
+
+@query("SELECT doc_id, md5(text) AS digest, md5(text) AS file_digest FROM documents")
+def sql_functions(spark, sf):
+    """The codecs under their SQL names."""
+    from granary import sql
+
+    sql.register(spark)
+    _docs(spark, sf).createOrReplaceTempView("granary_blobs")
+    return spark.sql("""
+SELECT doc_id, md5(unpack_blob(pack_blob(content, 'zstd', 3).data, 'zstd', NULL).data) AS digest, md5(unpack_file(pack_file(content, 'gzip', 6).data, 'gzip', NULL).data) AS file_digest FROM granary_blobs""")
 
 
 @query("""

@@ -17,18 +17,26 @@ def blobs(spark: SparkSession, path: str, recursive: bool = True, content: bool
 
 def folders(files: DataFrame, root: str) -> DataFrame:
     """The folders below root that hold files, from the files' paths."""
-    inner = F.expr(f"substring(path, instr(path, '{root}') + {len(root.rstrip('/')) + 1})")
+    inner = F.substr(F.col("path"), F.instr("path", root) + F.lit(len(root.rstrip("/"))))
     parts = F.split(F.regexp_replace(inner, "^/+", ""), "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     return files.select(F.explode(F.when(F.size(parts) > 1, prefixes)).alias("folder")).distinct()
 
 
 def speeds(spark: SparkSession, path: str) -> DataFrame:
-    """Measured speeds from JSON lines; rows with unreadable numbers are left out. A missing path gives an empty table."""
+    """Measured speeds; rows with unreadable numbers are left out. A missing path gives an empty table.
+
+    Both shapes are read: JSON lines with a column algo, and one object with a member per algorithm, the numbers inside.
+    """
     from pyspark.errors import AnalysisException
 
+    numbers = "STRUCT<comp_mb_s: STRING, decomp_mb_s: STRING, samples: STRING>"
+
     try:
-        rows = spark.read.schema("algo string, comp_mb_s string, decomp_mb_s string, samples string").json(path)
+        text = spark.read.text(path, wholetext=True)  # a row for each codec: such files are small
+        one = F.from_json("value", f"MAP<STRING, {numbers}>", {"mode": "PERMISSIVE"})
+        lines = spark.read.schema("algo string, comp_mb_s string, decomp_mb_s string, samples string").json(path).filter("algo IS NOT NULL")
+        rows = lines.unionByName(text.select(F.explode(one).alias("algo", "n")).filter("n IS NOT NULL").select("algo", "n.*"))
     except AnalysisException:
         return spark.createDataFrame([], SPEEDS)
     numbers = rows.selectExpr("algo", "try_cast(comp_mb_s AS double) AS comp_mb_s", "try_cast(decomp_mb_s AS double) AS decomp_mb_s", "try_cast(samples AS long) AS samples")

@@ -102,3 +102,46 @@ def test_stream_of_files(spark, tmp_path):
         (folder / "b.zst").write_bytes(standalone.ENCODERS["zstd"](b"second", 3)[:-1])
     rows = {r.path.rsplit("/", 1)[1]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert bytes(rows["a.gz"].data) == b"first" and rows["b.zst"].error is not None
+
+
+def test_links_and_times_of_real_archives(spark):
+    import io
+    import tarfile
+    import zipfile
+
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as tar:
+        for name, kind, target, time in (("a.txt", tarfile.REGTYPE, "", 10), ("hard", tarfile.LNKTYPE, "a.txt", 1 << 40), ("lost", tarfile.LNKTYPE, "nowhere", 0)):
+            info = tarfile.TarInfo(name)
+            info.type, info.linkname, info.mtime = kind, target, time
+            info.size = 5 if kind == tarfile.REGTYPE else 0
+            tar.addfile(info, io.BytesIO(b"hello"))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for name in ("one", "two"):
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), name)
+    dated = packed.getvalue().replace(b"\x00\x00\x21\x00", b"\x00\x00\x00\x00")  # day and month 0
+    df = spark.createDataFrame([(1, out.getvalue()), (2, dated), (3, b"PK\x03\x04 cut")], "k int, archive binary")
+    got = {(r.k, r.path): r for r in archive.extract(df, ["k"]).collect()}
+    assert bytes(got[1, "hard"].content) == b"hello" and got[1, "hard"].type == "hardlink" and got[1, "hard"].link_target == "a.txt" and got[1, "hard"].mtime is None
+    assert got[1, "lost"].error == "special file"
+    assert bytes(got[2, "two"].content) == b"two" and got[2, "one"].mtime is None
+    assert got[3, None].error
+    wanted = spark.createDataFrame([("hard",), ("two",), ("nothing",)], "path string")
+    assert sorted((r.k, r.path, bytes(r.content)) for r in archive.extract(df, ["k"], wanted).collect()) == [(1, "hard", b"hello"), (2, "two", b"two")]
+
+
+def test_order_of_sources_decides_between_equal_paths(spark):
+    df = spark.createDataFrame([(1, "x", b"second", 2), (1, "x", b"zfirst", 1), (1, "y", b"only", 1)], "k int, path string, content binary, ordinal int")
+    rows = archive.entries(archive.build(df, "k", "tar", order="ordinal"), ["k"]).collect()
+    assert sorted((r.path, bytes(r.content)) for r in rows) == [("x", b"second"), ("y", b"only")]
+
+
+def test_speeds_as_one_object(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"zlib": {"comp_mb_s": 10.5, "decomp_mb_s": 20, "samples": 3},\n "lz4": {"comp_mb_s": "bad", "decomp_mb_s": 1, "samples": 1}}')
+    assert [tuple(r) for r in files.speeds(spark, str(tmp_path / "s.json")).collect()] == [("zlib", 10.5, 20.0, 3)]
+
+
+def test_folders_of_a_root_with_a_quote(spark):
+    rows = spark.createDataFrame([("/o'b/a/b/c.txt",)], "path string")
+    assert sorted(r.folder for r in files.folders(rows, "/o'b").collect()) == ["a", "a/b"]

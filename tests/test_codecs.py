@@ -21,7 +21,7 @@ BLOBS = [b"Hello, World! " * 100, bytes(range(256)) * 100, b"A" * 1_000_000, b"H
 @settings(max_examples=25, deadline=None)
 @given(data=st.binary(max_size=4000), level=st.integers(-1, 9))
 def test_codec_roundtrip(name, data, level):
-    assert codecs.DECODERS[name](codecs.ENCODERS[name](data, level)) == data
+    assert codecs.DECODERS[name](codecs.ENCODERS[name](data, level), len(data)) == data
 
 
 @pytest.mark.parametrize("name", codecs.ENCODERS)
@@ -128,3 +128,44 @@ def test_lists(spark):
 def test_rest_imports_without_the_corpus_operators():
     code = "import sys; sys.modules['granary.llm'] = None; import __spark_entry__ as e; assert 'plan_compression' in e.queries() and not any(q.startswith('op') for q in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+@pytest.mark.parametrize("name", list(codecs.ENCODERS))
+def test_decoders_stop_at_their_limit(name):
+    bomb = codecs.ENCODERS[name](bytes(5_000_000), -1)
+    assert len(codecs.DECODERS[name](bomb, 5_000_000)) == 5_000_000
+    with pytest.raises(ValueError, match="decodes to more"):
+        codecs.DECODERS[name](bomb, 4_999_999)
+
+
+@pytest.mark.parametrize("name", list(standalone.ENCODERS))
+def test_single_files_stop_at_their_limit(name):
+    bomb = standalone.ENCODERS[name](bytes(5_000_000), -1)
+    assert len(standalone.DECODERS[name](bomb, 5_000_000)) == 5_000_000
+    with pytest.raises(ValueError, match="decodes to more"):
+        standalone.DECODERS[name](bomb, 1000)
+
+
+def test_a_smaller_dictionary_packs_the_same():
+    import lzma
+    import random
+
+    rnd = random.Random(1)
+    for size in (0, 1, 4095, 4097, 30_000, 200_000, 300_000):
+        data = bytes(rnd.choice(b"abcdef ") for _ in range(size))
+        small, large = codecs.ENCODERS["lzma"](data, 6), lzma.compress(data, check=lzma.CHECK_CRC64, preset=6 | lzma.PRESET_EXTREME)
+        assert codecs.DECODERS["lzma"](small, size) == data and abs(len(small) - len(large)) <= 4
+
+
+def test_names_in_cut_headers():
+    head = b"\x1f\x8b\x08"
+    whole = head + b"\x0c" + bytes(6) + b"\x02\x00xx" + b"name\0rest"
+    assert standalone.gzip_name(whole) == "name"
+    assert all(standalone.gzip_name(whole[:n]) is None for n in range(19))
+
+
+@pytest.mark.parametrize("size", [0, 1, 100, 65_535, 65_536, 65_537, 1_000_000])
+def test_lz4_keeps_its_bound(size):
+    import os
+
+    assert len(codecs.ENCODERS["lz4"](os.urandom(size), -1)) <= size + size // 255 + 19 + 4 * -(-size // 65536)
