@@ -29,7 +29,7 @@ from granary.llm.run_index import RunIndex
 
 SPAN, ANCHOR = 50, 24
 #: Documents with one minimizer, beyond which its strings are dealt by their own hashes.
-HOT = 16_384
+HOT = 4_096
 #: Strings in a phrase, at most; the verdict on a phrase is one bit for each.
 PHRASE = 64
 PIECE_BYTES = 256 << 10
@@ -97,8 +97,8 @@ class Phrases:
         return B.mix64((self._total[end] - self._total[start]) * self._down[start] + strings.astype(np.uint64))
 
     def cut_up(self, hot: np.ndarray) -> None:
-        """Makes each string of the phrases with a hot minimizer (ascending) a phrase of its own, under its own hash."""
-        which = _among(self.minimizer, hot)
+        """Makes each string of the phrases with a hot minimizer (ascending codes) a phrase of its own, under its own hash."""
+        which = _among(_code(self.minimizer), hot)
         if not which.any():
             return
         strings, cold = self.strings[which], ~which
@@ -115,6 +115,11 @@ class Phrases:
         return [self.raw[a:b] for a, b in zip(starts, ends)]
 
 
+def _code(minimizer: np.ndarray) -> np.ndarray:
+    """The leading 48 bits, which travel; a rare false match only sends a phrase for nothing."""
+    return minimizer >> np.uint64(16)
+
+
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which values stand in known (ascending)."""
     if not len(known):
@@ -154,10 +159,10 @@ def _parsed(texts: list[bytes], hot: np.ndarray):
         yield phrases, doc[phrases.owner], phrases.start - phrases.begin[phrases.owner] + offset[phrases.owner]
 
 
-def repeated(minimizer: np.ndarray, doc: np.ndarray, phrases: list[bytes]) -> np.ndarray:
-    """For distinct phrases (minimizer, smallest document, bytes): bit s of the answer tells that string s starts in a smaller document too."""
+def repeated(room: np.ndarray, doc: np.ndarray, phrases: list[bytes]) -> np.ndarray:
+    """For distinct phrases (a number of the minimizer, smallest document, bytes): bit s of the answer tells that string s starts in a smaller document too."""
     bits = np.zeros(len(phrases), np.uint64)
-    _, room = np.unique(minimizer, return_inverse=True)
+    _, room = np.unique(room, return_inverse=True)
     first, last = np.full(room.max(initial=0) + 1, np.iinfo(np.int64).max), np.full(room.max(initial=0) + 1, np.iinfo(np.int64).min)
     np.minimum.at(first, room, doc)
     np.maximum.at(last, room, doc)
@@ -210,7 +215,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = [none]
         for p, doc, _ in _parsed(chosen(left, right)[1], none):
             order = np.lexsort((doc, p.minimizer))
-            hashes, owner = p.minimizer[order], doc[order]
+            hashes, owner = _code(p.minimizer)[order], doc[order]
             new = np.ones(len(hashes), bool)
             new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
             found.append(hashes[new])  # once for each document of these pieces
@@ -223,7 +228,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ids, texts = chosen(left, right)
         parts, raws = [], []
         for p, doc, _ in _parsed(texts, hot) if len(known) or len(hot) else ():
-            some = np.flatnonzero(p.single | _among(p.minimizer, known))
+            some = np.flatnonzero(p.single | _among(_code(p.minimizer), known))
             keys, first, place = np.unique(p.key[some], return_index=True, return_inverse=True)
             least, most = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
             np.minimum.at(least, place, ids[doc[some]])
@@ -236,14 +241,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         np.minimum.at(low, place, least)
         np.maximum.at(high, place, most)
         bucket = (minimizer[first] >> shift).astype(np.int32)
-        return pd.DataFrame({"bucket": bucket, "block": np.full(len(uniq), int(key[0]), np.int32), "minimizer": minimizer[first].view(np.int64), "key": uniq.view(np.int64), "low": low.view(np.int64), "high": high.view(np.int64), "raw": [raws[k] for k in first.tolist()]})
+        return pd.DataFrame({"bucket": bucket, "block": np.full(len(uniq), int(key[0]), np.int32), "room": (minimizer[first] >> np.uint64(8)).astype(np.uint32).view(np.int32), "key": uniq.view(np.int64), "low": low.view(np.int64), "again": high > low, "raw": [raws[k] for k in first.tolist()]})
 
     def judge(pdf):
         keys, first, place = np.unique(pdf["key"].to_numpy(), return_index=True, return_inverse=True)
         low = np.full(len(keys), np.iinfo(np.int64).max)
         np.minimum.at(low, place, pdf["low"].to_numpy())
-        bits = repeated(pdf["minimizer"].to_numpy()[first], low, pdf["raw"].iloc[first].to_list())
-        tell = (bits[place] > 0) | (pdf["high"].to_numpy() > low[place])
+        bits = repeated(pdf["room"].to_numpy()[first], low, pdf["raw"].iloc[first].to_list())
+        tell = (bits[place] > 0) | pdf["again"].to_numpy() | (pdf["low"].to_numpy() > low[place])
         return pd.DataFrame({"block": pdf["block"].to_numpy()[tell], "key": keys[place][tell], "low": low[place][tell], "bits": bits[place][tell].view(np.int64)})
 
     def cut(key, left, right):
@@ -283,7 +288,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     minimizers = text.cogroup(parsed.groupBy("block")).applyInPandas(anchors, "hash long, block int, docs int")
     counted = minimizers.withColumn("n", F.sum("docs").over(Window.partitionBy("hash"))).filter("n > 1")
     answers = materialise(counted.select("block", F.when(F.col("n") > hot_docs, HOT_ONE).otherwise(SHARED).alias("kind"), F.col("hash").alias("value"), zero.alias("low"), zero.alias("bits")))
-    phrases = text.cogroup(parsed.unionByName(answers).groupBy("block")).applyInPandas(parse, "bucket int, block int, minimizer long, key long, low long, high long, raw binary")
+    phrases = text.cogroup(parsed.unionByName(answers).groupBy("block")).applyInPandas(parse, "bucket int, block int, room int, key long, low long, again boolean, raw binary")
     verdicts = told(phrases.groupBy("bucket").applyInPandas(judge, "block int, key long, low long, bits long"), VERDICT, "key", F.col("low"), F.col("bits"))
     beside = parsed.unionByName(answers.filter(F.col("kind") == HOT_ONE)).unionByName(verdicts)
     out = text.cogroup(beside.groupBy("block")).applyInPandas(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
