@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -64,11 +66,11 @@ def replay(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.concatenate([[0], np.cumsum(lengths + 1)])  # one end mark after each word
     symbol = np.full(starts[-1], -1, np.int64)
-    word = np.repeat(np.arange(len(words)), lengths + 1)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), lengths + 1)
     inside = np.ones(len(symbol), bool)
     inside[starts[1:] - 1] = False
     symbol[inside] = vocab.byte_token[np.frombuffer(b"".join(words), np.uint8)]
-    after, before = np.arange(1, len(symbol) + 1), np.arange(-1, len(symbol) - 1)
+    after, before = np.arange(1, len(symbol) + 1, dtype=np.int32), np.arange(-1, len(symbol) - 1, dtype=np.int32)
     after[-1] = len(symbol) - 1
     index: dict[int, list[np.ndarray]] = {}
     heap: list[int] = []
@@ -88,7 +90,7 @@ def replay(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
                 heappush(heap, rank)
             index[rank].append(at[a:b])
 
-    enter(np.arange(len(symbol) - 1), vocab.lookup(symbol[:-1], symbol[1:]))
+    enter(np.arange(len(symbol) - 1, dtype=np.int32), vocab.lookup(symbol[:-1], symbol[1:]))
     while heap:
         rank = heappop(heap)
         parts = index.pop(rank)
@@ -115,49 +117,57 @@ def replay(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
         live = left >= 0
         enter(left[live], vocab.lookup(symbol[left[live]], symbol[at[live]]))
     kept = symbol >= 0
-    tokens, owner = symbol[kept], word[kept]
+    tokens, owner = symbol[kept].astype(np.int32), word[kept]
     cuts = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
     return [tokens[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 class Encoder:
-    """Encodes blocks of texts; remembers the pieces of earlier blocks."""
+    """Encodes blocks of texts; remembers the pieces of earlier blocks, for digests with their ids as text and decoded."""
 
-    def __init__(self, lines: str, pattern: str):
-        self.vocab, self.pattern = Vocabulary(lines), regex.compile(pattern)
+    def __init__(self, lines: str, pattern: str, digests: bool = False):
+        self.vocab, self.pattern, self.digests = Vocabulary(lines), regex.compile(pattern), digests
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.ids: list[np.ndarray] = []
         self.shown: list[str] = []  # a piece's ids as text
         self.raw: list[bytes] = []  # and decoded
 
-    def pieces(self, texts: list[str]) -> list[list[int]]:
-        """The numbers of each text's pieces, by which ids, shown and raw are read."""
+    def pieces(self, texts: list[str]) -> list[array]:
+        """The numbers of each text's pieces, by which ids, shown and raw are read. Only one text's pieces exist as strings at a time."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        cut = [self.pattern.findall(t) for t in texts]
-        new = list(set().union(*cut) - self.known.keys())
+        before, at = len(self.known), self.known.__getitem__
+        numbers = [array("i", map(at, self.pattern.findall(t))) for t in texts]
+        new = list(islice(self.known, before, None))
         ids = replay([p.encode("utf-8", "replace") for p in new], self.vocab)
         self.ids += ids
-        self.shown += [",".join(map(str, x.tolist())) for x in ids]
-        self.raw += [self.decode(x) for x in ids]
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        at = self.known.__getitem__
-        return [list(map(at, p)) for p in cut]
+        if self.digests:
+            self.shown += [",".join(map(str, x.tolist())) for x in ids]
+            self.raw += [self.decode(x) for x in ids]
+        return numbers
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.concatenate([self.ids[k] for k in p]) if p else np.empty(0, np.int64) for p in self.pieces(texts)]
+        return [np.concatenate([self.ids[k] for k in p]) if p else np.empty(0, np.int32) for p in self.pieces(texts)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join([self.vocab.bytes_of[i] for i in ids.tolist()])
 
 
 @lru_cache(maxsize=2)
-def encoder(lines: str, pattern: str) -> Encoder:
+def encoder(lines: str, pattern: str, digests: bool) -> Encoder:
     """One for each Python worker."""
-    return Encoder(lines, pattern)
+    return Encoder(lines, pattern, digests)
 
 
 def _rank_lines(path: str) -> str:
@@ -168,10 +178,10 @@ def _rank_lines(path: str) -> str:
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
-def _with_encoder(df: DataFrame, path: str, pattern: str) -> Callable[[], Encoder]:
+def _with_encoder(df: DataFrame, path: str, pattern: str, digests: bool = False) -> Callable[[], Encoder]:
     bounded_batches(df.sparkSession)
     lines = df.sparkSession.sparkContext.broadcast(_rank_lines(path))  # the rank file: fixed size, under 1 MB
-    return lambda: encoder(lines.value, pattern)
+    return lambda: encoder(lines.value, pattern, digests)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +191,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     @pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([x.astype(np.int32) for x in get().encode([t or "" for t in texts])], dtype=object)
+            yield pd.Series(get().encode([t or "" for t in texts]), dtype=object)
 
     return docs.select(F.col(id_col), ids(F.col(text_col)).alias("ids"))
 
@@ -204,7 +214,7 @@ def encode_digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     Ids are decoded back in the same pass, so that neither ids nor bytes leave the task. A null text counts as empty.
     Rows repeated are encoded alike; other columns are not read; an empty table gives an empty result.
     """
-    get = _with_encoder(docs, path, pattern)
+    get = _with_encoder(docs, path, pattern, digests=True)
 
     @pandas_udf(DIGEST)
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -231,6 +241,6 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
         for texts in batches:
             texts, enc = [t or "" for t in texts], get()
             ids = enc.encode(texts)
-            yield pd.DataFrame({"n_tokens": [len(x) for x in ids], "ids": [x.astype(np.int32) for x in ids], "exact": [enc.decode(x) == t.encode("utf-8", "replace") for x, t in zip(ids, texts)]}, columns=CHECKED.names)
+            yield pd.DataFrame({"n_tokens": [len(x) for x in ids], "ids": ids, "exact": [enc.decode(x) == t.encode("utf-8", "replace") for x, t in zip(ids, texts)]}, columns=CHECKED.names)
 
     return docs.select(F.col(id_col), checked(F.col(text_col)).alias("__d")).select(id_col, "__d.*")
