@@ -1,7 +1,8 @@
 """A corpus pipeline: quality filter, exact and near deduplication, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept; all but the last return the
-columns of documents. Rows are told apart by a number that a stage writes once, so ids may be null or repeat. A null text counts as an empty one in
+columns of documents. Rows are told apart by their place in the Parquet files that a stage reads (a docs made otherwise is
+written once), so ids may be null or repeat; a join or explode that repeats rows has to be written before a stage, as run() does. A null text counts as an empty one in
 every stage, an empty table gives an empty result, and columns beside those of documents pass through unread, but for the last stage, which returns its own. run() writes each stage's result to the shared folder and reads it back as the next one's input.
 """
 
@@ -25,17 +26,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest doc_id stays, in a single row."""
-    return exact_dedup.keep_one(docs, repeats=False)
+    return exact_dedup.keep_one(docs, repeats=False, placed=True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest doc_id stays, in a single row."""
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, placed=True)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document; where a source's budget ends inside a document, its text up to there."""
-    return mixing.take(docs)
+    return mixing.take(docs, placed=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,11 +6,14 @@ import string
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of a row's number that count inside its file.
+FILE_ROW_BITS = 36
 
 
 def ascii_lower(text: Column) -> Column:
@@ -42,9 +45,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_rows(df: DataFrame, name: str) -> DataFrame:
-    """df with a number of each row in column `name`. It is written once, so every later use of a row sees the same number."""
-    return materialise(df.withColumn(name, F.monotonically_increasing_id()))
+def with_rows(df: DataFrame, name: str, placed: bool = False) -> DataFrame:
+    """df with a number of each row in column `name`; every later use of a row sees the same number.
+
+    If `placed`, df gives each row of some Parquet files once at most, and a row's number is its place in them, so that nothing is copied: the files are
+    numbered by name, in a table with a row for each. Any other df is written once. A df without places counts as not placed.
+    """
+    try:
+        found = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at")) if placed else None
+    except AnalysisException:
+        found = None
+    if found is None:
+        return materialise(df.withColumn(name, F.monotonically_increasing_id()))
+    files = found.select("__file").distinct().withColumn("__number", F.row_number().over(Window.orderBy("__file")).cast("long"))
+    numbered = found.join(materialise(files), "__file").withColumn(name, F.shiftleft("__number", FILE_ROW_BITS) + F.col("__at"))
+    return numbered.select(*df.columns, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

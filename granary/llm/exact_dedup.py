@@ -59,13 +59,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(parts, ["recipe", "salt"]).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True, placed: bool = False) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
     Rows are judged one by one, so a null id or an id of two texts costs no other row. Rows that repeat the id that stays for their text
-    stay with it, as deduplicate() judges them; without `repeats` one of them stays, a single row of each text.
+    stay with it, as deduplicate() judges them; without `repeats` one of them stays, a single row of each text. `placed`: see with_rows().
     """
-    rows = with_rows(docs, "__row")
+    rows = with_rows(docs, "__row", placed)
     key = F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("__key")
     found = deduplicate(rows.select(key, F.col(text_col).alias("text")), "__key")
     stay = found.filter(F.col("__key.id").eqNullSafe(F.col("keep_id.id")) if repeats else F.col("kept"))

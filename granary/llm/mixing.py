@@ -71,12 +71,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return rows.select(F.col("r.id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), *own)
 
 
-def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", **how) -> DataFrame:
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", placed: bool = False, **how) -> DataFrame:
     """The mix itself, with the columns of docs: each row as often as it is taken whole, and once more with its first words where a budget
     ends inside it. chars_col, if docs has it, then counts what is left. Documents without words are in no mix. Ids may be null or stand in
-    several rows; each row is planned and taken by itself.
+    several rows; each row is planned and taken by itself. `placed`: see with_rows().
     """
-    known = with_rows(docs, "__row")
+    known = with_rows(docs, "__row", placed)
     plan = mix(known, id_col, text_col, source_col, row_col="__row", **how).filter("taken > 0")
     plan = plan.select("__row", F.floor(F.col("taken") / F.col("size")).cast("int").alias("__whole"), (F.col("taken") % F.col("size")).cast("int").alias("__part"))
     part = F.when(F.col("__part") > 0, F.array(F.col("__part"))).otherwise(F.array().cast("array<int>"))

@@ -313,13 +313,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", placed: bool = False) -> DataFrame:
     """The rows of docs that stay, one row of each component, with all their columns.
 
     It is the row of the smallest id; a null id stays only where its component has no other. Rows are compared and judged one by one, so
-    null ids and ids of several rows link nothing and cost no other row. Ids must be integers.
+    null ids and ids of several rows link nothing and cost no other row. Ids must be integers. `placed`: see with_rows().
     """
-    rows = with_rows(docs, "__row")
+    rows = with_rows(docs, "__row", placed)
     found = near_duplicates(rows, "__row", text_col)
     named = found.join(rows.select("__row", F.col(id_col).alias("__id")), "__row")
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row")))
