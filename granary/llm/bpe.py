@@ -29,6 +29,8 @@ from granary.functions.batches import bounded_batches
 
 #: Distinct pieces that a worker remembers with their tokens; beyond that it starts anew, which changes no result.
 REMEMBERED = 200_000
+#: Positions whose pairs are looked up at a time when a block enters the index.
+LOOKED_UP = 1 << 18
 
 
 class Vocabulary:
@@ -40,7 +42,7 @@ class Vocabulary:
         self.bytes_of = [b""] * size
         for raw, r in self.rank.items():
             self.bytes_of[r] = raw
-        self.byte_token = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
+        self.byte_token = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         self.shift = 20
         pairs = [((self.rank[t[:k]] << self.shift) | self.rank[t[k:]], r) for t, r in self.rank.items() for k in range(1, len(t)) if t[:k] in self.rank and t[k:] in self.rank]
         table = np.array(sorted(pairs), np.int64).reshape(-1, 2)
@@ -54,18 +56,18 @@ class Vocabulary:
 
     def lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The token that each pair becomes, or -1. Negative symbols are ends."""
-        code = np.where((a < 0) | (b < 0), -1, (a << self.shift) | b)
+        code = np.where((a < 0) | (b < 0), -1, (a.astype(np.int64) << self.shift) | b)
         at = np.searchsorted(self.pair, code)
         return np.where(self.pair[at] == code, self.becomes[at], -1)
 
 
-def replay(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
-    """The tokens of each of the words."""
+def replay(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all words end to end, and where each word's begin; the last mark is the end."""
     if not words:
-        return []
+        return np.empty(0, np.int32), np.zeros(1, np.int64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.concatenate([[0], np.cumsum(lengths + 1)])  # one end mark after each word
-    symbol = np.full(starts[-1], -1, np.int64)
+    symbol = np.full(starts[-1], -1, np.int32)
     word = np.repeat(np.arange(len(words), dtype=np.int32), lengths + 1)
     inside = np.ones(len(symbol), bool)
     inside[starts[1:] - 1] = False
@@ -90,7 +92,9 @@ def replay(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
                 heappush(heap, rank)
             index[rank].append(at[a:b])
 
-    enter(np.arange(len(symbol) - 1, dtype=np.int32), vocab.lookup(symbol[:-1], symbol[1:]))
+    for a in range(0, len(symbol) - 1, LOOKED_UP):
+        b = min(a + LOOKED_UP, len(symbol) - 1)
+        enter(np.arange(a, b, dtype=np.int32), vocab.lookup(symbol[a:b], symbol[a + 1 : b + 1]))
     while heap:
         rank = heappop(heap)
         parts = index.pop(rank)
@@ -117,9 +121,7 @@ def replay(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
         live = left >= 0
         enter(left[live], vocab.lookup(symbol[left[live]], symbol[at[live]]))
     kept = symbol >= 0
-    tokens, owner = symbol[kept].astype(np.int32), word[kept]
-    cuts = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
-    return [tokens[a:b] for a, b in zip(cuts, cuts[1:])]
+    return symbol[kept], np.searchsorted(word[kept], np.arange(len(words) + 1))
 
 
 class Numbers(dict):
@@ -139,26 +141,33 @@ class Encoder:
 
     def forget(self) -> None:
         self.known = Numbers()
-        self.ids: list[np.ndarray] = []
+        self.tokens, self.cuts = np.empty(0, np.int32), np.zeros(1, np.int64)  # the tokens of piece k lie from cut k to the next
         self.shown: list[str] = []  # a piece's ids as text
         self.raw: list[bytes] = []  # and decoded
 
     def pieces(self, texts: list[str]) -> list[array]:
-        """The numbers of each text's pieces, by which ids, shown and raw are read. Only one text's pieces exist as strings at a time."""
+        """The numbers of each text's pieces, by which cuts, shown and raw are read. Only one text's pieces exist as strings at a time."""
         if len(self.known) > REMEMBERED:
             self.forget()
         before, at = len(self.known), self.known.__getitem__
         numbers = [array("i", map(at, self.pattern.findall(t))) for t in texts]
         new = list(islice(self.known, before, None))
-        ids = replay([p.encode("utf-8", "replace") for p in new], self.vocab)
-        self.ids += ids
+        tokens, cuts = replay([p.encode("utf-8", "replace") for p in new], self.vocab)
+        self.tokens, self.cuts = np.concatenate([self.tokens, tokens]), np.concatenate([self.cuts, self.cuts[-1] + cuts[1:]])
         if self.digests:
+            ids = [tokens[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
             self.shown += [",".join(map(str, x.tolist())) for x in ids]
             self.raw += [self.decode(x) for x in ids]
         return numbers
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.concatenate([self.ids[k] for k in p]) if p else np.empty(0, np.int32) for p in self.pieces(texts)]
+        return [self.ids(np.frombuffer(p, np.int32)) for p in self.pieces(texts)]
+
+    def ids(self, pieces: np.ndarray) -> np.ndarray:
+        """The tokens of these pieces, one after the other."""
+        starts, lengths = self.cuts[pieces], self.cuts[pieces + 1] - self.cuts[pieces]
+        ends = np.cumsum(lengths)
+        return self.tokens[np.arange(lengths.sum()) + np.repeat(starts - ends + lengths, lengths)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join([self.vocab.bytes_of[i] for i in ids.tolist()])
