@@ -133,7 +133,7 @@ class Numbers(dict):
 
 
 class Encoder:
-    """Encodes blocks of texts; remembers the pieces of earlier blocks, for digests with their ids as text and decoded."""
+    """Encodes blocks of texts; remembers the pieces of earlier blocks of a task, for digests with their ids as text and decoded."""
 
     def __init__(self, lines: str, pattern: str, digests: bool = False):
         self.vocab, self.pattern, self.digests = Vocabulary(lines), regex.compile(pattern), digests
@@ -201,6 +201,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(get().encode([t or "" for t in texts]), dtype=object)
+        get().forget()
 
     return docs.select(F.col(id_col), ids(F.col(text_col)).alias("ids"))
 
@@ -234,6 +235,7 @@ def encode_digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                 raw = b"".join(map(enc.raw.__getitem__, p))
                 out.append((ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
             yield pd.DataFrame(out, columns=DIGEST.names)
+        get().forget()
 
     return docs.select(F.col(id_col), digest(F.col(text_col)).alias("__d")).select(id_col, "__d.*")
 
@@ -251,5 +253,6 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
             texts, enc = [t or "" for t in texts], get()
             ids = enc.encode(texts)
             yield pd.DataFrame({"n_tokens": [len(x) for x in ids], "ids": ids, "exact": [enc.decode(x) == t.encode("utf-8", "replace") for x, t in zip(ids, texts)]}, columns=CHECKED.names)
+        get().forget()
 
     return docs.select(F.col(id_col), checked(F.col(text_col)).alias("__d")).select(id_col, "__d.*")
