@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 #: Bytes of an Arrow batch, softly: a single larger row is a batch of its own.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
