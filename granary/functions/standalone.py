@@ -28,12 +28,20 @@ def gzip_encode(data: bytes, level: int) -> bytes:
 
 
 def lz4_file(data: bytes, level: int) -> bytes:
-    """A frame with a content checksum: the flag is set, the header's own check byte made anew, the checksum appended."""
-    frame = bytearray(lz4_encode(data, level))
-    frame[4] |= 1 << 2
-    end = 6 + 8 * bool(frame[4] & 1 << 3) + 4 * bool(frame[4] & 1)
-    frame[end] = xxhash.xxh32(bytes(frame[4:end])).intdigest() >> 8 & 0xFF
-    return bytes(frame) + struct.pack("<I", xxhash.xxh32(data).intdigest())
+    """A frame with checksums of its blocks and of its content: the flags are set, the header's own check byte made anew, the checksums added.
+
+    A damaged block can still decode to the same content, where text repeats; only a checksum of its packed bytes tells.
+    """
+    frame = lz4_encode(data, level)
+    head = bytearray(frame[: 7 + 8 * bool(frame[4] & 1 << 3) + 4 * bool(frame[4] & 1)])
+    head[4] |= 1 << 4 | 1 << 2
+    head[-1] = xxhash.xxh32(bytes(head[4:-1])).intdigest() >> 8 & 0xFF
+    out, at = [bytes(head)], len(head)
+    while size := int.from_bytes(frame[at : at + 4], "little") & 0x7FFFFFFF:
+        end = at + 4 + size
+        out += [frame[at:end], struct.pack("<I", xxhash.xxh32(frame[at + 4 : end]).intdigest())]
+        at = end
+    return b"".join([*out, bytes(4), struct.pack("<I", xxhash.xxh32(data).intdigest())])
 
 
 def gzip_name(data: bytes) -> str | None:
