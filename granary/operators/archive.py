@@ -24,8 +24,8 @@ from granary.operators import policy
 
 ENTRY = "ord int, path string, type string, size long, mtime timestamp, mode int, link_target string, content binary"
 _EPOCH = (1980, 1, 1, 0, 0, 0)
-#: Bytes of entries for each volume of a key, and what an entry weighs beside its content and path.
-VOLUME_BYTES, ENTRY_BYTES = 64 << 20, 1024
+#: Bytes of entries for each volume of a key, and what an entry weighs beside its content and path. A worker holds a volume several times over.
+VOLUME_BYTES, ENTRY_BYTES = 8 << 20, 1024
 
 
 def volume_of(path: Column, volumes: Column | int) -> Column:
@@ -33,8 +33,12 @@ def volume_of(path: Column, volumes: Column | int) -> Column:
 
 
 def volumes_of(entries: DataFrame, key: str = "key", volume_bytes: int | None = None) -> DataFrame:
-    """key, volumes of the keys that need more than one volume: a row for each volume_bytes of all entries at most, so this is small."""
-    weight = F.coalesce(F.octet_length("content"), F.lit(0)).cast("long") + F.octet_length("path") + ENTRY_BYTES
+    """key, volumes of the keys that need more than one volume: a row for each volume_bytes of all entries at most, so this is small.
+
+    The bytes of an entry are its column `size`, where there is one, else those of its content.
+    """
+    size = F.col("size") if "size" in entries.columns else F.octet_length("content")
+    weight = F.coalesce(size, F.lit(0)).cast("long") + F.octet_length("path") + ENTRY_BYTES
     sizes = entries.groupBy(key, "path").agg(F.max(weight).alias("n")).groupBy(key).agg(F.sum("n").alias("n"))
     return sizes.select(key, F.ceil(F.col("n") / F.lit(volume_bytes or VOLUME_BYTES)).cast("int").alias("volumes")).filter("volumes > 1")
 
@@ -92,6 +96,11 @@ def build(entries: DataFrame, key: str, name: str = "tar.zst", level: int = -1,
     equal paths the last by the column `order` stays (an ordinal of sources, a time), without one that of the largest content hash; contents are shuffled once
     for the fold, and twice only where `order` is given. Only these columns are read; names that are no archive raise ValueError.
     """
+    return _build(entries, key, name, level, volumes, order)
+
+
+def _build(entries: DataFrame, key: str, name: str, level: int, volumes: int | None = None, order: str | None = None, sized: DataFrame | None = None) -> DataFrame:
+    """sized: key, path, size of the same entries, where volumes are better counted without their contents."""
     spark = entries.sparkSession
     bounded_batches(spark)
     # a one-row projection of constants: the format algebra is written as column expressions
@@ -99,23 +108,24 @@ def build(entries: DataFrame, key: str, name: str = "tar.zst", level: int = -1,
     if not p.valid or p.archive not in ("tar", "zip"):
         raise ValueError(f"no archive format: {name}")
     make, type_ = (_zip(level) if p.archive == "zip" else _tar), entries.schema[key].dataType.simpleString()
+    encode = None if p.codec == formats.UNKNOWN else standalone.ENCODERS[p.codec]
 
     def fold(group, rows):
         rows = rows.assign(rank=[hashlib.sha256(x or b"").digest() for x in rows["content"]]).sort_values(["path", "rank"], kind="stable").drop_duplicates("path", keep="last")
-        return pd.DataFrame([(*group, make(rows))], columns=["key", "volume", "archive"])
+        made, error = make(rows), None
+        if encode is not None:  # here and not in a UDF of its own, so that a task has one worker with one copy of the archive
+            made, error = codecs.attempt(lambda: encode(made, level))
+        return pd.DataFrame([(*group, made, error)], columns=["key", "volume", "archive", "error"])
 
     if order is not None:
         entries = last_written(entries, [key], F.col(order))
     rows = entries.select(F.col(key).alias("key"), "path", F.col("content").cast("binary").alias("content"))
     if volumes is None:
-        many = volumes_of(rows).withColumnRenamed("key", "__key")
+        many = volumes_of(rows if sized is None else sized).withColumnRenamed("key", "__key")
         rows = rows.join(F.broadcast(many), rows["key"].eqNullSafe(many["__key"]), "left").withColumn("volume", volume_of(F.col("path"), F.coalesce("volumes", F.lit(1)))).drop("__key", "volumes")
     else:
         rows = rows.withColumn("volume", volume_of(F.col("path"), volumes))
-    out = rows.groupBy("key", "volume").applyInPandas(fold, f"key {type_}, volume int, archive binary").withColumnRenamed("key", key)
-    if p.codec == formats.UNKNOWN:
-        return out.withColumn("error", F.lit(None).cast("string"))
-    return out.withColumn("__r", standalone.pack(F.col("archive"), p.codec, level)).select(key, "volume", F.col("__r.data").alias("archive"), F.col("__r.error").alias("error"))
+    return rows.groupBy("key", "volume").applyInPandas(fold, f"key {type_}, volume int, archive binary, error string").withColumnRenamed("key", key)
 
 
 def _moment(make: Callable[[], pd.Timestamp]) -> pd.Timestamp | None:
@@ -174,32 +184,40 @@ def _entries(archives: DataFrame, keep: list[str], content: str, path: Column |
     raw = F.col(content)
     names = F.lit(None).cast("array<string>") if chosen is None else F.col(chosen)
     rows = archives.select(*keep, names.alias("__chosen"), raw.alias("__raw"), formats.pipeline_of_blob(raw, F.lit("x.tar.x") if path is None else path).alias("__p"))
-    rows = rows.withColumn("__u", standalone.unpack(F.when(F.col("__p.codec").isin(*STANDALONE), F.col("__raw")), F.col("__p.codec"), most))
-    rows = rows.select(*keep, "__chosen", F.coalesce("__u.data", "__raw").alias("__raw"), F.col("__p.archive").alias("__archive"), F.col("__u.error").alias("__error"))
+    kind, codec = F.col("__p.archive"), F.when(F.col("__p.codec").isin(*STANDALONE), F.col("__p.codec"))
+    rows = rows.select(*keep, "__chosen", "__raw", kind.alias("__archive"), codec.alias("__codec"))
     columns = [*keep, *(x.split()[0] for x in ENTRY.split(", ")), "error"]
-    size = 8 << 20
+    size = 4 << 20
 
     def frame_of(out):
         frame = pd.DataFrame(out, columns=columns)
         frame["mtime"] = pd.to_datetime(frame["mtime"])
         return frame
 
+    def read_one(row) -> Iterator[tuple]:
+        own, (names, raw, archive, codec) = tuple(row[: len(keep)]), row[len(keep) :]
+        try:
+            if raw is not None and codec is not None:
+                raw, error = codecs.attempt(lambda: standalone.DECODERS[codec](raw, most))
+                if error is not None:
+                    raise ValueError(error)
+            if raw is None or archive not in ("tar", "zip"):
+                raise ValueError(f"not a readable archive: {archive}")
+            for e in (_tar_entries if archive == "tar" else _zip_entries)(raw, payload, most, None if names is None else set(names)):
+                yield (*own, *e, None)
+        except Exception as e:  # noqa: BLE001 - a damaged archive is a row
+            yield (*own, *[None] * 8, f"{type(e).__name__}: {e}")
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                own, (names, raw, archive, error) = tuple(row[: len(keep)]), row[len(keep) :]
                 out, held = [], 0
-                try:
-                    if error is not None or raw is None or archive not in ("tar", "zip"):
-                        raise ValueError(error or f"not a readable archive: {archive}")
-                    for e in (_tar_entries if archive == "tar" else _zip_entries)(raw, payload, most, None if names is None else set(names)):
-                        out.append((*own, *e, None))
-                        held += len(e[-1] or b"") + 200
-                        if held > size:
-                            yield frame_of(out)
-                            out, held = [], 0
-                except Exception as e:  # noqa: BLE001 - a damaged archive is a row
-                    out.append((*own, *[None] * 8, f"{type(e).__name__}: {e}"))
+                for e in read_one(row):
+                    out.append(e)
+                    held += len(e[-2] or b"") + 200
+                    if held > size:
+                        yield frame_of(out)
+                        out, held = [], 0
                 if out:
                     yield frame_of(out)
 
