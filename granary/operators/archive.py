@@ -185,7 +185,8 @@ def _entries(archives: DataFrame, keep: list[str], content: str, path: Column |
     names = F.lit(None).cast("array<string>") if chosen is None else F.col(chosen)
     rows = archives.select(*keep, names.alias("__chosen"), raw.alias("__raw"), formats.pipeline_of_blob(raw, F.lit("x.tar.x") if path is None else path).alias("__p"))
     kind, codec = F.col("__p.archive"), F.when(F.col("__p.codec").isin(*STANDALONE), F.col("__p.codec"))
-    rows = rows.select(*keep, "__chosen", "__raw", kind.alias("__archive"), codec.alias("__codec"))
+    # what is neither an archive nor packed is a row with an error: its bytes needn't be looked at
+    rows = rows.select(*keep, "__chosen", F.when(kind.isin("tar", "zip") | codec.isNotNull(), F.col("__raw")).alias("__raw"), kind.alias("__archive"), codec.alias("__codec"))
     columns = [*keep, *(x.split()[0] for x in ENTRY.split(", ")), "error"]
     size = 4 << 20
 
@@ -209,17 +210,17 @@ def _entries(archives: DataFrame, keep: list[str], content: str, path: Column |
             yield (*own, *[None] * 8, f"{type(e).__name__}: {e}")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in batches:  # a frame for many small archives, and several for a large one
+            out, held = [], 0
             for row in batch.itertuples(index=False):
-                out, held = [], 0
                 for e in read_one(row):
                     out.append(e)
                     held += len(e[-2] or b"") + 200
                     if held > size:
                         yield frame_of(out)
                         out, held = [], 0
-                if out:
-                    yield frame_of(out)
+            if out:
+                yield frame_of(out)
 
     kept = ", ".join(f"`{c}` {archives.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInPandas(read, f"{kept}, {ENTRY}, error string")

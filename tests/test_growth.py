@@ -28,3 +28,10 @@ def test_a_volume_is_told_its_own_names_only(spark, tiny, monkeypatch):
     monkeypatch.setattr(archive, "extract", lambda a, keep, *args, **more: asked.append(keep) or plain(a, keep, *args, **more))
     QUERIES["archive_extract_selected"](spark, tiny)
     assert asked == [["source", "volume"]]
+
+
+def test_small_archives_share_frames(spark, monkeypatch):
+    frames, blobs = [], spark.range(500).select("id", F.lit(bytearray(b"no archive")).alias("archive"))
+    monkeypatch.setattr(type(blobs), "mapInPandas", lambda self, f, schema: frames.extend(f(iter([self.toPandas()]))) or self)
+    archive.entries(blobs, ["id"])
+    assert len(frames) == 1 and list(frames[0]["id"]) == list(range(500)) and frames[0]["error"].eq("ValueError: not a readable archive: none").all()
