@@ -253,6 +253,10 @@ def missing(wanted: DataFrame, listed: DataFrame) -> DataFrame:
 
 def convert(archives: DataFrame, key: str, name: str, level: int = -1, content: str = "archive") -> DataFrame:
     """The same entries in another archive format, in volumes as build() makes them."""
-    rows = entries(archives, [key], content).filter("error IS NULL AND type IN ('file', 'hardlink', 'dir')")
-    rows = rows.withColumn("path", F.when((F.col("type") == "dir") & ~F.col("path").endswith("/"), F.concat("path", F.lit("/"))).otherwise(F.col("path")))
-    return build(rows.select(key, "path", "content"), key, name, level)
+
+    def kept(payload: bool) -> DataFrame:
+        rows = entries(archives, [key], content, payload=payload).filter("error IS NULL AND type IN ('file', 'hardlink', 'dir')")
+        return rows.withColumn("path", F.when((F.col("type") == "dir") & ~F.col("path").endswith("/"), F.concat("path", F.lit("/"))).otherwise(F.col("path")))
+
+    # volumes follow from a listing, which unpacks no contents
+    return _build(kept(True).select(key, "path", "content"), key, name, level, sized=kept(False).select(F.col(key).alias("key"), "path", "size"))

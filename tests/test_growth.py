@@ -35,3 +35,12 @@ def test_small_archives_share_frames(spark, monkeypatch):
     monkeypatch.setattr(type(blobs), "mapInPandas", lambda self, f, schema: frames.extend(f(iter([self.toPandas()]))) or self)
     archive.entries(blobs, ["id"])
     assert len(frames) == 1 and list(frames[0]["id"]) == list(range(500)) and frames[0]["error"].eq("ValueError: not a readable archive: none").all()
+
+
+def test_a_listing_tells_the_volumes_of_a_conversion(spark, monkeypatch):
+    rows = spark.createDataFrame([("k", "a/", None), ("k", "a/b", bytearray(b"x" * 5000)), ("k", "c", bytearray(b""))], "k string, path string, content binary")
+    built, seen, plain = archive.build(rows, "k", "zip", volumes=1), [], archive.volumes_of
+    monkeypatch.setattr(archive, "volumes_of", lambda e, *a: seen.append((e.columns, plain(e, "key", 1024).collect())) or plain(e, "key", 1024))
+    got = archive.entries(archive.convert(built, "k", "tar.xz"), ["k"])
+    assert sorted((r.path.rstrip("/"), r.size) for r in got.collect()) == [("a", 0), ("a/b", 5000), ("c", 0)]
+    assert [c for c, _ in seen] == [["key", "path", "size"]] and seen[0][1] == [("k", 8)]
