@@ -98,10 +98,13 @@ def merge_speeds(known: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def with_speed(rows: DataFrame, algo: Column, speeds: DataFrame | None = None, decompress: bool = False, out: str = "mb_s") -> DataFrame:
-    """rows with the estimated speed of their codec: measured if it is positive, else the default, else 200."""
+    """rows with the estimated speed of their codec: measured if it is positive, else the default, else 200.
+
+    speeds has a row for each codec, so it is broadcast; rows dealt by codec would meet in a few tasks.
+    """
     fixed = F.coalesce(lookup(DECOMPRESS_MB_S if decompress else COMPRESS_MB_S, F.lower(algo)), F.lit(OTHER_MB_S))
     if speeds is None:
         return rows.withColumn(out, fixed)
     measured = speeds.select(F.col("algo").alias("__algo"), F.col("decomp_mb_s" if decompress else "comp_mb_s").alias("__speed"))
-    joined = rows.join(measured, F.lower(algo) == F.col("__algo"), "left")
+    joined = rows.join(F.broadcast(measured), F.lower(algo) == F.col("__algo"), "left")
     return joined.withColumn(out, F.coalesce(F.when(F.col("__speed") > 0, F.col("__speed")), fixed)).drop("__algo", "__speed")

@@ -44,3 +44,7 @@ def test_a_listing_tells_the_volumes_of_a_conversion(spark, monkeypatch):
     got = archive.entries(archive.convert(built, "k", "tar.xz"), ["k"])
     assert sorted((r.path.rstrip("/"), r.size) for r in got.collect()) == [("a", 0), ("a/b", 5000), ("c", 0)]
     assert [c for c, _ in seen] == [["key", "path", "size"]] and seen[0][1] == [("k", 8)]
+
+
+def test_speeds_are_broadcast(spark, tiny):
+    assert "hashpartitioning" not in plan_of(QUERIES["plan_estimates"](spark, tiny))
