@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import codecs, formats, standalone
-from granary.functions.batches import bounded_batches
+from granary.functions.batches import blob_batches
 from granary.functions.dims import STANDALONE
 from granary.operators import policy
 
@@ -102,7 +102,7 @@ def build(entries: DataFrame, key: str, name: str = "tar.zst", level: int = -1,
 def _build(entries: DataFrame, key: str, name: str, level: int, volumes: int | None = None, order: str | None = None, sized: DataFrame | None = None) -> DataFrame:
     """sized: key, path, size of the same entries, where volumes are better counted without their contents."""
     spark = entries.sparkSession
-    bounded_batches(spark)
+    blob_batches(spark)
     # a one-row projection of constants: the format algebra is written as column expressions
     p = spark.range(1).select(formats.pipeline_of_name(F.lit(name)).alias("p")).select("p.*", formats.is_valid(F.col("p")).alias("valid")).first()
     if not p.valid or p.archive not in ("tar", "zip"):
@@ -180,7 +180,7 @@ def entries(archives: DataFrame, keep: list[str], content: str = "archive", path
 
 def _entries(archives: DataFrame, keep: list[str], content: str, path: Column | None, payload: bool, most: int, chosen: str | None = None) -> DataFrame:
     """chosen: a column of paths (array<string>); only these entries are read."""
-    bounded_batches(archives.sparkSession)
+    blob_batches(archives.sparkSession)
     raw = F.col(content)
     names = F.lit(None).cast("array<string>") if chosen is None else F.col(chosen)
     rows = archives.select(*keep, names.alias("__chosen"), raw.alias("__raw"), formats.pipeline_of_blob(raw, F.lit("x.tar.x") if path is None else path).alias("__p"))

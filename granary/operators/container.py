@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import codecs, formats, standalone
-from granary.functions.batches import bounded_batches
+from granary.functions.batches import blob_batches
 from granary.functions import header as H
 from granary.functions.dims import CODECS, STANDALONE
 
@@ -35,7 +35,7 @@ def error_class(error: Column) -> Column:
 
 def pack(blobs: DataFrame, codec: Column, level: Column | None = None, content: str = "content", out: str = "packed") -> DataFrame:
     """blobs with `out` (header and payload, null on failure), `error` and `error_class`. Null content stays null without an error."""
-    bounded_batches(blobs.sparkSession)
+    blob_batches(blobs.sparkSession)
     level = F.lit(-1) if level is None else level
     raw = F.col(content).cast("binary")
     rows = blobs.withColumn("__error", F.when(raw.isNotNull(), request_error(codec, level, F.octet_length(raw))))
@@ -52,7 +52,7 @@ def unpack(blobs: DataFrame, path: Column | None = None, content: str = "content
     what a container's header names. Unless lenient, a container whose payload doesn't have the header's size is an error; decoding
     stops at that size, and anywhere at `most` bytes.
     """
-    bounded_batches(blobs.sparkSession)
+    blob_batches(blobs.sparkSession)
     raw = F.col(content)
     rows = blobs.withColumn("format", formats.of_blob(raw, F.lit("") if path is None else path))
     # plain columns instead of a struct, which the optimizer would take apart and repeat at each use

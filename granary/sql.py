@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from granary.functions import codecs, standalone
-from granary.functions.batches import bounded_batches
+from granary.functions.batches import blob_batches
 from granary.operators.archive import ENTRY, _tar_entries, _zip_entries
 from granary.sources import files
 
@@ -29,7 +29,7 @@ class ArchiveEntries:
 
 
 def register(spark: SparkSession) -> None:
-    bounded_batches(spark)
+    blob_batches(spark)
     for name, function in (("pack_blob", codecs.encode_udf), ("unpack_blob", codecs.decode_udf), ("pack_file", standalone.pack_udf), ("unpack_file", standalone.unpack_udf), ("gzip_name", standalone.original_name)):
         spark.udf.register(name, function)
     spark.udtf.register("archive_entries", udtf(ArchiveEntries, returnType=f"{ENTRY}, error string"))

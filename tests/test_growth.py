@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from granary.functions.batches import bounded_batches
 from granary.operators import archive
 from granary.plans.queries import QUERIES
 
@@ -48,3 +49,11 @@ def test_a_listing_tells_the_volumes_of_a_conversion(spark, monkeypatch):
 
 def test_speeds_are_broadcast(spark, tiny):
     assert "hashpartitioning" not in plan_of(QUERIES["plan_estimates"](spark, tiny))
+
+
+@pytest.mark.parametrize("name", ["standalone_roundtrip_bzip2", "container_roundtrip"])
+def test_batches_of_packed_blobs_have_few_rows(spark, tiny, name):
+    QUERIES[name](spark, tiny)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 1000
+    bounded_batches(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10000
