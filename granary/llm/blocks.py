@@ -8,7 +8,7 @@ step with the input, and a hash that is everywhere has a row for each block and
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
@@ -34,10 +34,14 @@ def bucket_shift(buckets: int) -> np.uint64:
     return np.uint64(64 - (buckets.bit_length() - 1))
 
 
-def group_min(df: DataFrame, keys: list[str], value: Column, out: str, salts: int = 64) -> DataFrame:
-    """df with the least value of each key as column `out`; a hot key is spread over `salts` tasks."""
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(value), F.lit(salts)))
-    parts = salted.groupBy(*keys, "__salt").agg(F.min(value).alias("__least"))
-    parts = parts.select(*keys, "__salt", F.min("__least").over(Window.partitionBy(*keys)).alias(out))
-    return salted.join(parts, [*keys, "__salt"]).drop("__salt")
+#: Tasks that the rows of a hot key are spread over; a mask of 64 bits tells which of them hold the key.
+SALTS = 64
+
 
+def group_min(df: DataFrame, keys: list[str], value: Column, out: str) -> DataFrame:
+    """df with the least value of each key as column `out`; a hot key is spread over SALTS tasks."""
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(*keys).agg(F.min(value).alias(out), F.bit_or(F.expr("shiftleft(1L, __salt)")).alias("__salts"))
+    held = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("__salts", k) == 1)
+    parts = parts.select(*keys, out, F.explode(held).alias("__salt"))
+    return salted.join(parts, [*keys, "__salt"]).drop("__salt")
