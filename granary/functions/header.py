@@ -39,6 +39,7 @@ def inspect(content: Column) -> Column:
     """What a blob's header says, as a struct; reason tells why it can't be decompressed, and unread fields are null.
 
     A wrong version counts as no container at all; a size above 2^63 - 1 as a container with a bad header.
+    An empty blob's estimate is 0 seconds, as when it is packed.
     """
     version, algo, level, flags = (read_le(content, k, 1).cast("int") for k in (5, 6, 7, 8))
     size = read_le(content, 9, 8)
@@ -67,5 +68,5 @@ def inspect(content: Column) -> Column:
         known.alias("backend_available"),
         known.alias("has_streaming"),
         known.alias("can_decompress"),
-        F.when(known & (size > 0), size.cast("double") / (speed * MB)).alias("estimated_decomp_s"),
+        F.when(known, size.cast("double") / (speed * MB)).alias("estimated_decomp_s"),
     )
