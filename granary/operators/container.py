@@ -17,12 +17,12 @@ from granary.functions.dims import CODECS, STANDALONE
 LEAST_LEVEL, MOST_LEVEL = -1, 22
 
 
-def request_error(codec: Column, level: Column, size: Column) -> Column:
-    """Why a blob can't be packed as asked; null if it can."""
+def request_error(codec: Column, level: Column, size: Column, empty: bool = False) -> Column:
+    """Why a blob can't be packed as asked; null if it can. Blobs of no bytes are refused unless `empty`."""
     return (
         F.when(~codec.isin(*CODECS), F.concat(F.lit("ValueError: unknown codec "), codec))
         .when(~level.between(LEAST_LEVEL, MOST_LEVEL), F.concat(F.lit("ValueError: level "), level.cast("string"), F.lit(" out of range")))
-        .when(size == 0, "ValueError: empty input")
+        .when(F.lit(not empty) & (size == 0), "ValueError: empty input")
         .when(size > codecs.MAX_BLOB, "ValueError: input too large")
     )
 
@@ -33,24 +33,24 @@ def error_class(error: Column) -> Column:
     return F.when(error.isNotNull(), F.coalesce(F.try_element_at(known, F.regexp_extract(error, "^([A-Za-z_.]+):", 1)), F.lit("value")))
 
 
-def pack(blobs: DataFrame, codec: Column, level: Column | None = None, content: str = "content", out: str = "packed") -> DataFrame:
-    """blobs with `out` (header and payload, null on failure), `error` and `error_class`. Null content stays null without an error."""
+def pack(blobs: DataFrame, codec: Column, level: Column | None = None, content: str = "content", out: str = "packed", empty: bool = False) -> DataFrame:
+    """blobs with `out` (header and payload, null on failure), `error` and `error_class`. Null content stays null without an error; content of no bytes is one unless `empty`."""
     blob_batches(blobs.sparkSession)
     level = F.lit(-1) if level is None else level
     raw = F.col(content).cast("binary")
-    rows = blobs.withColumn("__error", F.when(raw.isNotNull(), request_error(codec, level, F.octet_length(raw))))
+    rows = blobs.withColumn("__error", F.when(raw.isNotNull(), request_error(codec, level, F.octet_length(raw), empty)))
     rows = rows.withColumn("__r", codecs.compress(F.when(F.col("__error").isNull(), raw), codec, level))
     head = H.header(codec, level, F.octet_length(raw))
     rows = rows.withColumns({out: F.when(F.col("__r.data").isNotNull(), F.concat(head, F.col("__r.data"))), "error": F.coalesce("__error", "__r.error")})
     return rows.withColumn("error_class", error_class(F.col("error"))).drop("__r", "__error")
 
 
-def unpack(blobs: DataFrame, path: Column | None = None, content: str = "content", out: str = "data", codec: Column | None = None, lenient: bool = False, most: int = codecs.MAX_DECODED) -> DataFrame:
+def unpack(blobs: DataFrame, path: Column | None = None, content: str = "content", out: str = "data", codec: Column | None = None, lenient: bool = False, most: int = codecs.MAX_DECODED, empty: bool = False) -> DataFrame:
     """blobs with `format`, `out` (null on failure), `error` and `error_class`, whatever known format each row has.
 
     The format is told by the bytes, then by the path. An archive is no single file, so it is an error here. `codec` overrides
     what a container's header names. Unless lenient, a container whose payload doesn't have the header's size is an error; decoding
-    stops at that size, and anywhere at `most` bytes.
+    stops at that size, and anywhere at `most` bytes. A container whose header says 0 bytes is an error unless `empty`.
     """
     blob_batches(blobs.sparkSession)
     raw = F.col(content)
@@ -62,7 +62,7 @@ def unpack(blobs: DataFrame, path: Column | None = None, content: str = "content
     named = F.col("__name") if codec is None else F.coalesce(codec, F.col("__name"))
     error = (
         F.when(boxed & ~F.col("__ok"), F.concat(F.lit("HeaderError: "), F.col("__reason")))
-        .when(boxed & (F.col("__size") == 0), "HeaderError: original size is 0")
+        .when(F.lit(not empty) & boxed & (F.col("__size") == 0), "HeaderError: original size is 0")
         .when(boxed & named.isNull(), F.concat(F.lit("BackendError: "), F.col("__reason")))
         .when(formats.is_archive(F.col("format")), F.concat(F.lit("ValueError: archive, extract it: "), F.col("format")))
         .when(~boxed & ~single, "ValueError: unknown format")
