@@ -32,8 +32,9 @@ def short_plans(monkeypatch):
     monkeypatch.setattr(container, "unpack", lambda blobs, *args, **more: plain(blobs.localCheckpoint(), *args, **more))
 
 
-def test_headers_of_empty_blobs(spark, sparse):
-    got, want = rows_of(spark, sparse, "container_inspect")
+@pytest.mark.parametrize("name", ["container_inspect", "plan_decompression"])
+def test_headers_of_empty_blobs(spark, sparse, name):
+    got, want = rows_of(spark, sparse, name)
     assert got == want
 
 
