@@ -21,9 +21,9 @@ def plan_compression(blobs: DataFrame, algo: Column | None = None, strategy: Col
     return rows.withColumns({"reason": reason, "can_compress": reason.isNull(), "estimated_seconds": F.when(F.col(content).isNotNull(), F.col("input_size") / MB / F.col("mb_s"))}).drop("mb_s")
 
 
-def run_compression(plan: DataFrame, content: str = "content") -> DataFrame:
-    """A plan with packed, ok and error."""
-    rows = container.pack(plan.withColumn("__content", F.when(F.col("can_compress"), F.col(content))), F.col("backend_name"), F.col("level"), "__content")
+def run_compression(plan: DataFrame, content: str = "content", empty: bool = False) -> DataFrame:
+    """A plan with packed, ok and error. A blob of no bytes is an error unless `empty`."""
+    rows = container.pack(plan.withColumn("__content", F.when(F.col("can_compress"), F.col(content))), F.col("backend_name"), F.col("level"), "__content", empty=empty)
     return rows.withColumn("error", F.coalesce("reason", "error")).withColumn("ok", F.col("error").isNull()).drop("__content")
 
 
@@ -33,9 +33,9 @@ def plan_decompression(blobs: DataFrame, path: str = "path", content: str = "con
     return rows.withColumn("estimated_seconds", F.col("inspection.estimated_decomp_s"))
 
 
-def run_decompression(plan: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """A plan with data, ok and error. Standalone formats are decoded as well as containers."""
-    return container.unpack(plan, F.col(path), content).withColumn("ok", F.col("error").isNull())
+def run_decompression(plan: DataFrame, path: str = "path", content: str = "content", empty: bool = False) -> DataFrame:
+    """A plan with data, ok and error. Standalone formats are decoded as well as containers, those of empty blobs if `empty`."""
+    return container.unpack(plan, F.col(path), content, empty=empty).withColumn("ok", F.col("error").isNull())
 
 
 def plan_archive(entries: DataFrame, key: str, name: str = "tar.zst") -> DataFrame:

@@ -38,7 +38,7 @@ def test_headers_of_empty_blobs(spark, sparse, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["container_roundtrip", "damaged_blobs"])
+@pytest.mark.parametrize("name", ["container_roundtrip", "damaged_blobs", "decompress_any", "run_compression"])
 def test_round_trips_of_empty_blobs(spark, sparse, short_plans, name):
     got, want = rows_of(spark, sparse, name)
     assert got == want
